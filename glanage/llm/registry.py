@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glanage.llm import toxicity
+from glanage.llm import minhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": minhash.op1_minhash,
         "op4_toxicity": toxicity.op4_toxicity,
     }
 
