@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glanage.llm import minhash, toxicity
+from glanage.llm import decontamination, minhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": minhash.op1_minhash,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_decontamination": decontamination.op5_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontamination.ORACLE}
