@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glanage.llm import decontamination, minhash, toxicity
+from glanage.llm import decontamination, minhash, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash": minhash.op1_minhash,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontamination": decontamination.op5_decontamination,
+        "op10_pii": pii.op10_pii,
     }
 
 
