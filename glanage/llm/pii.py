@@ -55,7 +55,7 @@ PATTERNS = {
     "date": re.compile(r"[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9])|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4}(?![0-9])"),
     "key": re.compile(r"A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*\"?([0-9A-Fa-f]{16,64})(?![0-9A-Za-z])"),
 }
-_BEFORE = {"email": "._%+-", "ipv4": ".", "ssn": "-", "phone": "+(", "date": "-/."}
+_BEFORE = {"email": "._%+-", "card": "-.", "ipv4": ".", "ssn": "-", "phone": "+(", "date": "-/."}
 
 
 def permute(value: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
