@@ -66,3 +66,15 @@ def chunks(sizes: list[int], most: int) -> Iterator[slice]:
         total += n
     if start < len(sizes):
         yield slice(start, len(sizes))
+
+
+def process_cache() -> dict:
+    """A dict that lives as long as this process, on executors too.
+
+    Functions are sent by value, so their module's globals are made anew for
+    each task; this one is kept under a name of its own.
+    """
+    import sys
+    import types
+
+    return sys.modules.setdefault("_glanage_cache", types.ModuleType("_glanage_cache")).__dict__
