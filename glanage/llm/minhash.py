@@ -15,11 +15,14 @@ A document's class is its connected component.
 
 How the work stays bounded: equal texts collapse first. In a bucket of few
 texts all pairs are candidates. In a larger one every text meets a few pivots,
-those that are in the largest buckets elsewhere (in a group of copies this is
-the original, which is near all of them). A bucket is done when the texts that
-were no pivots are all in one component; until then texts outside its largest
-component become pivots too, four times as many each time, so that in the end
-no two texts of a bucket are in different classes without having been compared.
+those that are in the largest buckets elsewhere: in a group of copies these are
+the ones with the fewest changes, which are near all others. Texts that this
+leaves outside their bucket's largest component elect new pivots among
+themselves and meet those, again and again as long as that finds links. So the
+pairs grow with the number of texts, not with the square of a group's size. A
+link is found if its texts share a small bucket or one is a pivot of a bucket
+of both; one between two texts that are no pivots of any of their common, large
+buckets is found only as part of the component (the README has the recall).
 
 Probability of missing a link of similarity s is (1 - s^ell)^sketches: 2e-5 for
 texts at the threshold, and less above. Texts of at most 40 shingles use
@@ -56,9 +59,9 @@ class OmhParams:
     #: (shingles in a sketch, sketches, least and most shingles of a text that gets them)
     families: tuple[tuple[int, int, int, int], ...] = ((2, 14, 2, 40), (6, 36, 20, 1 << 40))
     #: Buckets of at most so many texts compare all pairs.
-    small: int = 8
-    #: Pivots of a larger bucket in the first round.
-    pivots: int = 3
+    small: int = 12
+    #: Pivots that a larger bucket elects in a round.
+    pivots: int = 4
     seed: int = 11
 
 
@@ -220,21 +223,32 @@ def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:
         met = met.where((F.col("a") != F.col("b")) & (F.col("label") != F.col("label_b")) & ratio)
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    k, alone = params.pivots, many.withColumn("label", F.col("id"))
-    pivots = saved(first(alone, k).select("bucket", "id"), "pivots")
-    pairs = pairs.unionByName(meet(alone.join(pivots, ["bucket", "id"], "left_semi"), alone)).distinct()
-    edges = saved(verify(pairs, texts, params), "links")
+    def meet(chosen: DataFrame, members: DataFrame) -> DataFrame:
+        """Each member with the chosen texts of its buckets, every pair once; a bucket's choice is one short list."""
+        lists = chosen.groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "label")).alias("p"))
+        met = members.join(lists, "bucket").groupBy("id", "n", "label").agg(F.array_distinct(F.flatten(F.collect_set("p"))).alias("p"))
+        met = met.select("id", "n", "label", F.explode("p").alias("q")).select("id", "n", "label", "q.id", F.col("q.n").alias("m"), F.col("q.label").alias("other")).toDF("a", "n", "label", "b", "m", "other")
+        met = met.where((F.col("a") != F.col("b")) & (F.col("label") != F.col("other")) & ratio)
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    alone = many.withColumn("label", F.col("id"))
+    pivots = saved(first(alone, params.pivots), "pivots")
+    pairs = pairs.unionByName(meet(pivots, alone)).distinct()
+    edges, links = saved(verify(pairs, texts, params), "links"), -1
     while True:
         label = saved(components(edges), "components")
+        found = edges.count()
+        if found == links:
+            break
+        links = found
         now = many.join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         largest = now.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"))
-        open_ = now.join(largest, "bucket").where(F.col("label") != F.col("top.label")).join(pivots, ["bucket", "id"], "left_anti").drop("top")
-        k *= 4
-        more = saved(first(open_, k), "pivots")
+        open_ = saved(now.join(largest, "bucket").where(F.col("label") != F.col("top.label")).drop("top"), "open")
+        more = saved(first(open_.join(pivots, ["bucket", "id"], "left_anti"), params.pivots), "pivots")
         if more.isEmpty():
             break
-        pivots = pivots.unionByName(more.select("bucket", "id"))
-        edges = saved(edges.unionByName(verify(meet(more, now).distinct(), texts, params)), "links")
+        pivots = pivots.unionByName(more)
+        edges = saved(edges.unionByName(verify(meet(more, open_).distinct(), texts, params)), "links")
     root = nodes.select("id", "key").join(label, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
     return sig.select(F.col("id").alias("doc_id"), "key").join(root, "key").select("doc_id", "class_id")
 
