@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glanage.llm import decontamination, minhash, pii, segmentation, toxicity
+from glanage.llm import decontamination, licenses, media, minhash, pii, segmentation, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash": minhash.op1_minhash,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontamination": decontamination.op5_decontamination,
+        "op6_licenses": licenses.op6_licenses,
+        "op9_media": media.op9_media,
         "op8_segmentation": segmentation.op8_segmentation,
         "op10_pii": pii.op10_pii,
     }
