@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glanage.llm import decontamination, licenses, media, minhash, pii, segmentation, toxicity
+from glanage.llm import decontamination, language, licenses, media, minhash, pii, segmentation, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": minhash.op1_minhash,
+        "op3_language": language.op3_language,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontamination": decontamination.op5_decontamination,
         "op6_licenses": licenses.op6_licenses,
+        "op7_warc": warc.op7_warc,
         "op9_media": media.op9_media,
         "op8_segmentation": segmentation.op8_segmentation,
         "op10_pii": pii.op10_pii,
