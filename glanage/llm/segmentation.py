@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,7 +60,16 @@ class SampleParams:
     alpha: float = 1.0
     seed: int = 23
     #: Characters of text that are sampled together.
-    block: int = 400_000
+    block: int = 1_000_000
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, each without the mark it begins with; further marks stay."""
+    if not text:
+        return []
+    if text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
+        return text.split(" ")
+    return [w[1:] for w in _WORDS.findall(MARK + text.replace(" ", MARK))]
 
 
 class Vocabulary:
@@ -107,7 +117,7 @@ class Vocabulary:
             self.piece[new[node]] = i
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(self.pieces[i] for i in ids).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if ids else ""
 
 
@@ -160,12 +170,9 @@ class Lattice:
             ids.append(voc.byte_ids[data[spelled]])
         piece = np.concatenate(ids)
         # Paths only meet at positions that no edge spans; sums start anew there.
-        spans = np.zeros(len(data) + 2, np.int64)
-        np.add.at(spans, b + 1, 1)
-        np.add.at(spans, s, -1)
-        cut = np.cumsum(spans)[: len(data)] == 0
-        cuts = np.flatnonzero(cut)
-        stop = cuts[np.minimum(np.searchsorted(cuts, b, side="right"), len(cuts) - 1)]
+        spans = np.bincount(b + 1, minlength=len(data) + 2) - np.bincount(s, minlength=len(data) + 2)
+        cuts = np.where(np.cumsum(spans)[: len(data)] == 0, np.arange(len(data)), len(data))
+        stop = np.minimum.accumulate(cuts[::-1])[::-1][b + 1]
         order = np.argsort(((stop - b) << 40) + (b << 6) + (s - b))
         b, s, piece, stop = b[order], s[order], piece[order], stop[order]
         beta = np.zeros(len(data) + 1)
@@ -254,16 +261,14 @@ class _Path:
 
 def sample(texts: list[str | None], keys: list[object], voc: Vocabulary, params: SampleParams) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples, best perturbed value first: ids, log_prob, gumbel, inclusion."""
-    index: dict[str, int] = {}
-    number: list[np.ndarray] = []
-    for t in texts:
-        words = _WORDS.findall(MARK + t.replace(" ", MARK)) if t else []
-        number.append(np.array([index.setdefault(w, len(index)) for w in words], np.int64))
+    index: defaultdict[str, int] = defaultdict()  # words without their first mark, numbered as they come
+    index.default_factory = index.__len__
+    number = [np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in map(words_of, texts)]
     results: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in texts]
     docs = [i for i, x in enumerate(number) if len(x)]
     if not docs:
         return results
-    lat = Lattice([w.encode("utf-8", "replace") for w in index], voc)
+    lat = Lattice((MARK + f"\0{MARK}".join(index)).encode("utf-8", "replace").split(b"\0") if "\0" not in "".join(index) else [(MARK + w).encode("utf-8", "replace") for w in index], voc)
     log_share = np.log(lat.share)
     log_other = np.log1p(-np.minimum(lat.share, 1.0), where=lat.share < 1 - 1e-12, out=np.full(len(lat.share), -np.inf))
     seeds = {i: np.uint64(xxhash.xxh3_64_intdigest(str("" if keys[i] is None else keys[i]).encode(), params.seed)) for i in docs}
