@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glanage.llm import decontamination, language, licenses, media, minhash, pii, segmentation, toxicity, warc
+from glanage.llm import decontamination, language, licenses, media, minhash, pii, segmentation, toolcalls, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": minhash.op1_minhash,
+        "op2_tool_calls": toolcalls.op2_tool_calls,
         "op3_language": language.op3_language,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontamination": decontamination.op5_decontamination,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.ORACLE}
+    return {"op2_tool_calls": toolcalls.ORACLE, "op5_decontamination": decontamination.ORACLE}
