@@ -7,10 +7,13 @@ and a payload is stored as its manifest, the ordered list of chunk digests and
 lengths. Reading back fetches borrowed chunks from their owners by digest,
 puts the chunks in order and verifies every digest and that of the payload.
 
-Equal payloads collapse before anything is moved, so groups of copies cost one
-row each; payloads move once, compressed, to meet what was decided about them,
-and only those that borrow move again. A chunk digest shared by many payloads
-is a key of joins only, whose large partitions Spark splits.
+Digests and lengths decide everything before a payload moves. Payloads that
+occur once and share no chunk, by far the most, are written where they are
+read: a bitmap of fixed size, over the first bits of the payload digest, tells
+them from those that may be special. Only the latter move, compressed, to meet
+what was decided about them, and equal ones collapse. (A full bitmap would just
+send all of them that way.) A chunk digest shared by many payloads is a key of
+joins only, whose large partitions Spark splits.
 
 Cases: a null text is an empty payload; payloads are zero-padded to a positive
 multiple of 64 bytes; long texts are chunked whole; repeated rows (equal ids or
@@ -39,10 +42,10 @@ _WINDOW = 64
 
 @dataclass(frozen=True)
 class ChunkParams:
-    least: int = 256
-    most: int = 4096
+    least: int = 512
+    most: int = 8192
     #: A cut is made on average every 2 ** bits bytes beyond the least size.
-    bits: int = 10
+    bits: int = 11
 
 
 def _gear() -> np.ndarray:
@@ -102,21 +105,50 @@ def feature(samples: bytes, n_chunks: int) -> str:
     return f"chunks={n_chunks};mean={x.mean():.4f};std={x.std():.4f};changes={changes};entropy={float(-(p * np.log2(p)).sum()):.4f}"
 
 
-def _described(docs: DataFrame, params: ChunkParams, blobs: bool) -> DataFrame:
-    """doc_id, n_bytes, sha, digests, lengths; with blobs also the compressed chunks."""
+#: Hex digits of a payload digest that address a bit: 24 bits, so the bitmap has 2 MB.
+_HEX = 6
+
+
+def _described(docs: DataFrame, params: ChunkParams) -> DataFrame:
+    """doc_id, n_bytes, sha (of the payload) and digests (of its chunks) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, text in zip(b["doc_id"], b["text"], strict=True):
                 n, data = payload(text)
-                parts = chunked(data, params)
-                rows.append((key, n, hashlib.sha256(data).hexdigest(), [hashlib.sha256(p).digest() for p in parts], [len(p) for p in parts], [zlib.compress(p, 3) for p in parts] if blobs else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "sha", "digests", "lengths", "blobs"]).astype({"doc_id": "Int64"})
-            yield out if blobs else out.drop(columns="blobs")
+                rows.append((key, n, hashlib.sha256(data).hexdigest(), [hashlib.sha256(p).digest() for p in chunked(data, params)]))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "sha", "digests"]).astype({"doc_id": "Int64"})
+
+    return docs.mapInPandas(run, "doc_id long, n_bytes long, sha string, digests array<binary>")
+
+
+def _full(docs: DataFrame, bitmap: bytes, special: bool, params: ChunkParams) -> DataFrame:
+    """doc_id, sha, digests, lengths and blobs (compressed chunks) of the rows that the bitmap calls special, or of the others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, text in zip(b["doc_id"], b["text"], strict=True):
+                data = payload(text)[1]
+                sha = hashlib.sha256(data).hexdigest()
+                bit = int(sha[:_HEX], 16)
+                if bool(bitmap[bit >> 3] >> (bit & 7) & 1) == special:
+                    parts = chunked(data, params)
+                    rows.append((key, sha, [hashlib.sha256(p).digest() for p in parts], [len(p) for p in parts], [zlib.compress(p, 3) for p in parts]))
+            yield pd.DataFrame(rows, columns=["doc_id", "sha", "digests", "lengths", "blobs"]).astype({"doc_id": "Int64"})
+
+    return docs.mapInPandas(run, "doc_id long, sha string, digests array<binary>, lengths array<int>, blobs array<binary>")
+
 
-    schema = "doc_id long, n_bytes long, sha string, digests array<binary>, lengths array<int>" + ", blobs array<binary>" * blobs
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+def _bitmap(special: DataFrame) -> bytes:
+    """A bit for the first hex digits of every sha; at most 2 ** 18 words come to the driver."""
+    at = F.conv(F.substring("sha", 1, _HEX), 16, 10).cast("long")
+    words = special.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(conv(substring(sha, 1, 6), 16, 10) % 64 as int))").alias("b"))
+    bits = np.zeros(16**_HEX // 64, np.int64)
+    for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        bits[w] = b
+    return bits.astype("<i8").tobytes()
 
 
 def write_store(docs: DataFrame, params: ChunkParams = ChunkParams()) -> tuple[DataFrame, DataFrame]:
@@ -124,19 +156,24 @@ def write_store(docs: DataFrame, params: ChunkParams = ChunkParams()) -> tuple[D
 
     store has sha, digests, lengths, blobs (null where borrowed), borrowed and lent (positions in digests).
     """
-    rows = saved(_described(docs, params, False), "payloads")
-    distinct = rows.groupBy("sha").agg(F.first("digests").alias("digests"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("holder"))
-    chunks = distinct.select("sha", F.posexplode("digests").alias("at", "digest"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = saved(_described(docs, params), "payloads")
+    holder = F.coalesce("doc_id", F.lit(-1))
+    distinct = rows.groupBy("sha").agg(F.first("digests").alias("digests"), F.min(holder).alias("holder"), F.count("*").alias("copies"))
+    chunks = distinct.select("sha", F.posexplode("digests").alias("at", "digest")).withColumn("digest", F.substring("digest", 1, 16))
     owners = chunks.groupBy("digest").agg(F.min(F.struct("sha", "at")).alias("owner"), F.count("*").alias("n")).where("n > 1")
     shared = chunks.join(owners, "digest").withColumn("own", (F.col("owner.sha") == F.col("sha")) & (F.col("owner.at") == F.col("at")))
     roles = shared.groupBy("sha").agg(
         F.collect_list(F.when(~F.col("own"), F.col("at"))).alias("borrowed"), F.collect_list(F.when(F.col("own"), F.col("at"))).alias("lent")
     )
-    holders = distinct.select("sha", "holder").join(roles, "sha", "left")
-    full = _described(docs, params, True).drop("n_bytes")
+    special = distinct.select("sha", "holder", "copies").join(roles, "sha", "left").where("copies > 1 or borrowed is not null")
+    special = saved(special, "special")
+    bitmap = _bitmap(special)
     none = F.array().cast("array<int>")
-    store = full.join(holders, "sha").where(F.coalesce("doc_id", F.lit(-1)) == F.col("holder"))
-    store = store.select(
+    columns = ["sha", "digests", "lengths", "blobs", "borrowed", "lent"]
+    plain = _full(docs, bitmap, False, params).withColumn("borrowed", none).withColumn("lent", none).select(columns)
+    met = _full(docs, bitmap, True, params).join(special, "sha", "left").where(F.col("holder").isNull() | (holder == F.col("holder")))
+    met = met.select(
         "sha",
         "digests",
         "lengths",
@@ -144,7 +181,7 @@ def write_store(docs: DataFrame, params: ChunkParams = ChunkParams()) -> tuple[D
         F.coalesce("borrowed", none).alias("borrowed"),
         F.coalesce("lent", none).alias("lent"),
     )
-    return rows, saved(store, "chunks")
+    return rows.drop("digests"), saved(plain.unionByName(met), "chunks")
 
 
 def read_store(store: DataFrame) -> DataFrame:
