@@ -12,7 +12,8 @@ occur once and share no chunk, by far the most, are written where they are
 read: a bitmap of fixed size, over the first bits of the payload digest, tells
 them from those that may be special. Only the latter move, compressed, to meet
 what was decided about them, and equal ones collapse. (A full bitmap would just
-send all of them that way.) A chunk digest shared by many payloads is a key of
+send all of them that way.) Joins are told to sort and merge, so that small
+inputs are handled as large ones are. A chunk digest shared by many payloads is a key of
 joins only, whose large partitions Spark splits.
 
 Cases: a null text is an empty payload; payloads are zero-padded to a positive
@@ -162,17 +163,17 @@ def write_store(docs: DataFrame, params: ChunkParams = ChunkParams()) -> tuple[D
     distinct = rows.groupBy("sha").agg(F.first("digests").alias("digests"), F.min(holder).alias("holder"), F.count("*").alias("copies"))
     chunks = distinct.select("sha", F.posexplode("digests").alias("at", "digest")).withColumn("digest", F.substring("digest", 1, 16))
     owners = chunks.groupBy("digest").agg(F.min(F.struct("sha", "at")).alias("owner"), F.count("*").alias("n")).where("n > 1")
-    shared = chunks.join(owners, "digest").withColumn("own", (F.col("owner.sha") == F.col("sha")) & (F.col("owner.at") == F.col("at")))
+    shared = chunks.join(owners.hint("merge"), "digest").withColumn("own", (F.col("owner.sha") == F.col("sha")) & (F.col("owner.at") == F.col("at")))
     roles = shared.groupBy("sha").agg(
         F.collect_list(F.when(~F.col("own"), F.col("at"))).alias("borrowed"), F.collect_list(F.when(F.col("own"), F.col("at"))).alias("lent")
     )
-    special = distinct.select("sha", "holder", "copies").join(roles, "sha", "left").where("copies > 1 or borrowed is not null")
+    special = distinct.select("sha", "holder", "copies").join(roles.hint("merge"), "sha", "left").where("copies > 1 or borrowed is not null")
     special = saved(special, "special")
     bitmap = _bitmap(special)
     none = F.array().cast("array<int>")
     columns = ["sha", "digests", "lengths", "blobs", "borrowed", "lent"]
     plain = _full(docs, bitmap, False, params).withColumn("borrowed", none).withColumn("lent", none).select(columns)
-    met = _full(docs, bitmap, True, params).join(special, "sha", "left").where(F.col("holder").isNull() | (holder == F.col("holder")))
+    met = _full(docs, bitmap, True, params).join(special.hint("merge"), "sha", "left").where(F.col("holder").isNull() | (holder == F.col("holder")))
     met = met.select(
         "sha",
         "digests",
@@ -191,9 +192,9 @@ def read_store(store: DataFrame) -> DataFrame:
     lent = lent.groupBy("digest").agg(F.first("blob").alias("blob"))
     wanted = store.where(F.size("borrowed") > 0).select("sha", "digests", F.explode("borrowed").alias("at"))
     wanted = wanted.select("sha", "at", F.element_at("digests", F.col("at") + 1).alias("digest"))
-    fetched = wanted.distinct().join(lent, "digest").groupBy("sha").agg(F.collect_list(F.struct("at", "blob")).alias("fetched"))
+    fetched = wanted.distinct().join(lent.hint("merge"), "digest").groupBy("sha").agg(F.collect_list(F.struct("at", "blob")).alias("fetched"))
     whole = store.where(F.size("borrowed") == 0).withColumn("fetched", F.lit(None).cast(fetched.schema["fetched"].dataType))
-    joined = store.where(F.size("borrowed") > 0).join(fetched, "sha")
+    joined = store.where(F.size("borrowed") > 0).join(fetched.hint("merge"), "sha")
     columns = ["sha", "digests", "lengths", "blobs", "fetched"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,7 +222,7 @@ def media(docs: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
     """Stores every text as chunks, reads it back, and describes what was read, one row per row of ``docs``."""
     rows, store = write_store(docs, params)
     found = read_store(store).dropDuplicates(["sha"])
-    return rows.select("doc_id", "n_bytes", "sha").join(found, "sha").drop("sha")
+    return rows.select("doc_id", "n_bytes", "sha").join(found.hint("merge"), "sha").drop("sha")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
