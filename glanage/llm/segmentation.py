@@ -116,6 +116,18 @@ class Vocabulary:
         for node, i in ends.items():
             self.piece[new[node]] = i
 
+        self.blob = np.frombuffer(b"".join(self.pieces), np.uint8)
+        self.size = np.array([len(x) for x in self.pieces], np.int64)
+        self.place = np.cumsum(self.size) - self.size
+
+    def spelled(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The bytes of the pieces ids[offsets[i]:offsets[i + 1]] for each i."""
+        size = self.size[ids]
+        stop = np.cumsum(size)
+        flat = self.blob[np.repeat(self.place[ids] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+        ends = np.concatenate([[0], stop])[offsets].tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if ids else ""
@@ -138,7 +150,7 @@ class Lattice:
         self.start = self.end - sizes
         letter = (data & 0xC0) != 0x80
         letter[self.end] = False
-        at = np.flatnonzero(letter)
+        at = np.flatnonzero(letter).astype(np.int32)
         node, here = voc.next[0, data[at]], at
         begins, stops, ids, depth = [], [], [], 1
         while True:
@@ -360,14 +372,15 @@ def segmentations(docs: DataFrame, model_path: str = MODEL, params: SampleParams
                     continue
                 ids = [r[2] for r in rows]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                back = [voc.decode(x.tolist()) == r[6].replace(MARK, " ") for x, r in zip(ids, rows, strict=True)]
+                flat = np.concatenate(ids).astype(np.int32)
+                back = [x == (MARK + r[6]).replace(" ", MARK).encode("utf-8", "replace") for x, r in zip(voc.spelled(flat, offsets), rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int64()),
                         pa.array([r[1] for r in rows], pa.int32()),
                         *(pa.array([r[j] for r in rows], pa.float64()) for j in (3, 4, 5)),
                         pa.array(np.diff(offsets), pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                         pa.array(back, pa.bool_()),
                     ],
                     names=["doc_id", "rank", "log_prob", "gumbel", "inclusion", "n_pieces", "ids", "round_trip"],
