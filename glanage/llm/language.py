@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glanage.llm.common import pick, saved
+from glanage.llm.common import mapped, pick, saved
 
 
 @dataclass(frozen=True)
@@ -165,7 +165,7 @@ def identify(pages: DataFrame, docs: DataFrame, params: LanguageParams = Languag
             yield pd.DataFrame(rows, columns=["page_id", "host", "domain", "declared", "suffix", "ll"]).astype({"page_id": "Int64"})
 
     columns = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"])
-    seen = columns.mapInPandas(run, "page_id long, host string, domain string, declared string, suffix string, ll array<double>")
+    seen = mapped(columns, run, "page_id long, host string, domain string, declared string, suffix string, ll array<double>")
     if not n:
         return seen.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "suffix", "host")
     seen = saved(seen.withColumn("p", _softmax(F.col("ll"))), "pages")

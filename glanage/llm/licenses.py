@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glanage.llm.common import WORD
+from glanage.llm.common import WORD, mapped
 
 #: Exact phrases and their labels, as fixed values.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -164,7 +164,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
             yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

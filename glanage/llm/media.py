@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glanage.llm.common import saved
+from glanage.llm.common import mapped, saved
 
 UNIT = 64
 _WINDOW = 64
@@ -121,7 +121,7 @@ def _described(docs: DataFrame, params: ChunkParams) -> DataFrame:
                 rows.append((key, n, hashlib.sha256(data).hexdigest(), [hashlib.sha256(p).digest() for p in chunked(data, params)]))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "sha", "digests"]).astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(run, "doc_id long, n_bytes long, sha string, digests array<binary>")
+    return mapped(docs, run, "doc_id long, n_bytes long, sha string, digests array<binary>")
 
 
 def _full(docs: DataFrame, bitmap: bytes, special: bool, params: ChunkParams) -> DataFrame:
@@ -139,7 +139,7 @@ def _full(docs: DataFrame, bitmap: bytes, special: bool, params: ChunkParams) ->
                     rows.append((key, sha, [hashlib.sha256(p).digest() for p in parts], [len(p) for p in parts], [zlib.compress(p, 3) for p in parts]))
             yield pd.DataFrame(rows, columns=["doc_id", "sha", "digests", "lengths", "blobs"]).astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(run, "doc_id long, sha string, digests array<binary>, lengths array<int>, blobs array<binary>")
+    return mapped(docs, run, "doc_id long, sha string, digests array<binary>, lengths array<int>, blobs array<binary>")
 
 
 def _bitmap(special: DataFrame) -> bytes:
@@ -215,7 +215,7 @@ def read_store(store: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["sha", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "sha string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return whole.select(columns).unionByName(joined.select(columns)).mapInPandas(run, schema)
+    return mapped(whole.select(columns).unionByName(joined.select(columns)), run, schema)
 
 
 def media(docs: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:

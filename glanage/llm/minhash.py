@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glanage.llm.common import pick, saved
+from glanage.llm.common import mapped, pick, saved
 from glanage.llm.components import components
 
 
@@ -166,7 +166,7 @@ def signatures(docs: DataFrame, params: OmhParams) -> DataFrame:
                 sk.append(sketches(labels, params))
             yield pd.DataFrame({"id": b["id"], "key": keys, "n": np.array(ns, dtype=np.int64), "sk": sk})
 
-    return docs.where("id is not null").select("id", "text").mapInPandas(run, "id long, key string, n long, sk array<long>")
+    return mapped(docs.where("id is not null").select("id", "text"), run, "id long, key string, n long, sk array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, params: OmhParams) -> DataFrame:
@@ -188,7 +188,7 @@ def verify(pairs: DataFrame, texts: DataFrame, params: OmhParams) -> DataFrame:
             good = [similarity(of(a, x), of(b, y), params.similarity) >= params.similarity for a, x, b, y in zip(p["a"], p["text_a"], p["b"], p["text_b"], strict=True)]
             yield p.loc[np.array(good, dtype=bool), ["a", "b"]]
 
-    return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
+    return mapped(pairs.join(one, "a").join(two, "b"), run, "a long, b long")
 
 
 def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:

@@ -38,6 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glanage.llm.common import mapped
+
 #: Used where no key is given; production names its own.
 DEMO_KEY = b"glanage demonstration key"
 ROUNDS = 8
@@ -245,7 +247,7 @@ def pseudonyms(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
             new = [pseudonymise(t, key) for t in b["text"]]
             yield b.assign(text=pd.Series([t for t, _ in new], index=b.index, dtype=object), kinds=pd.Series([k for _, k in new], index=b.index, dtype=object))
 
-    found = docs.mapInPandas(run, schema)
+    found = mapped(docs, run, schema)
     return found.withColumn("n_chars", F.when(F.size("kinds") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
 
 

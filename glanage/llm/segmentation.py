@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glanage.llm.common import chunks, process_cache
+from glanage.llm.common import chunks, mapped, process_cache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -60,7 +60,7 @@ class SampleParams:
     alpha: float = 1.0
     seed: int = 23
     #: Characters of text that are sampled together.
-    block: int = 1_000_000
+    block: int = 500_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -386,7 +386,7 @@ def segmentations(docs: DataFrame, model_path: str = MODEL, params: SampleParams
                     names=["doc_id", "rank", "log_prob", "gumbel", "inclusion", "n_pieces", "ids", "round_trip"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA, arrow=True)
 
 
 def op8_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glanage.llm.common import shared_dir
+from glanage.llm.common import mapped, shared_dir
 
 #: The header fields of each version, as fixed values.
 ARC_FIELDS = {
@@ -231,7 +231,7 @@ def write_arc(pages: DataFrame, path: str) -> str:
                 yield out
 
     columns = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"])
-    return _write_lines(columns.mapInPandas(run, "record binary"), path, "\n", "BEST_SPEED")
+    return _write_lines(mapped(columns, run, "record binary"), path, "\n", "BEST_SPEED")
 
 
 _DECIDED = "file string, offset long, error string, type string, id string, page_id long, size long, digest string"
@@ -258,7 +258,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
         for out in _batched(rows(batches), names, "payload" if payloads else "digest"):
             yield out.astype({"offset": "Int64", "page_id": "Int64", "size": "Int64"})
 
-    return _files(spark, path).mapInPandas(run, schema)
+    return mapped(_files(spark, path), run, schema)
 
 
 def convert(spark: SparkSession, arc: str, warc: str, least: int = 0) -> str:
@@ -279,7 +279,7 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = 0) -> str:
             records = (warc_record(r, r["refers_id"] if isinstance(r["refers_id"], str) else None, None if pd.isna(r["refers_to"]) else int(r["refers_to"])) for r in b.to_dict("records"))
             yield from _batched(((x,) for x in records), ["record"], "record")
 
-    return _write_lines(full.mapInPandas(run, "record binary"), warc, "\r\n", "THREE")
+    return _write_lines(mapped(full, run, "record binary"), warc, "\r\n", "THREE")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -314,7 +314,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             yield out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string, date string, record_id string"
-    return _files(spark, path).mapInPandas(run, schema)
+    return mapped(_files(spark, path), run, schema)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
