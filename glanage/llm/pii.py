@@ -29,8 +29,11 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import calendar
 import datetime
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -169,6 +172,10 @@ def _ipv4(m: re.Match, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
+#: Days over 12 in all months before the given one, from January 1900.
+_LATE = list(itertools.accumulate((calendar.monthrange(1900 + i // 12, i % 12 + 1)[1] - 12 for i in range(2400)), initial=0))
+
+
 def _date(m: re.Match, key: bytes, back: bool) -> str | None:
     """Year first, or day first where that is a date, else month first."""
     mark = m[1] or m[2]
@@ -184,9 +191,9 @@ def _date(m: re.Match, key: bytes, back: bool) -> str | None:
         # Month-first notation holds only days over 12: those dates are a domain of their own.
         if order == "mdy":
             month = (int(y) - 1900) * 12 + int(mo) - 1
-            n = permute(month * 16 + int(d) - 13, 2400 * 16, key, b"date-mdy", back)
-            month, at = divmod(n, 16)
-            return mark.join((f"{month % 12 + 1:0{len(a)}d}", f"{at + 13:02d}", str(month // 12 + 1900)))
+            n = permute(_LATE[month] + int(d) - 13, _LATE[-1], key, b"date-mdy", back)
+            month = bisect.bisect_right(_LATE, n) - 1
+            return mark.join((f"{month % 12 + 1:0{len(a)}d}", f"{n - _LATE[month] + 13:02d}", str(month // 12 + 1900)))
         new = datetime.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date", back))
         parts = {"y": str(new.year), "m": f"{new.month:0{len(mo)}d}", "d": f"{new.day:0{len(d)}d}"}
         return mark.join(parts[x] for x in order)
