@@ -67,7 +67,7 @@ def read_index(spark: SparkSession, path: str, field: str) -> DataFrame:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a text file, numbered from 1 in file order; blank lines are no questions."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "question"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "question"))
     return lines.where(F.col("question").rlike(r"\S")).select((F.col("i") + 1).cast("long").alias("line_no"), "question")
 
 

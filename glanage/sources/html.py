@@ -113,10 +113,8 @@ def pieces(page: Column) -> Column:
 
 def read_pages(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """path and html of every file of a folder, or of those that match ``glob`` (``*.{htm,html}``)."""
-    reader = spark.read.option("wholetext", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+    pages = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
+    return pages.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
 # --- fields ------------------------------------------------------------------------------------------------------
