@@ -31,6 +31,19 @@ def flag_index(docs: DataFrame, field: str, flag: Column, doc_id: str = "doc_id"
     return _postings(field, docs.select(F.when(flag, "yes").otherwise("no").alias("term"), F.col(doc_id).alias("doc_id")))
 
 
+def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+    """Stores postings in order of field and term, and reads them back.
+
+    A lookup then reads only the row groups that may hold its terms. Ranges
+    include the document, so that the postings of a frequent term spread over
+    files like any others.
+    """
+    keys = ["field", "term", "doc_id"]
+    placed = postings.repartitionByRange(partitions, *keys) if partitions else postings.repartitionByRange(*keys)
+    placed.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    return postings.sparkSession.read.schema(postings.schema).parquet(path)
+
+
 def index_bulletins(bulletins: DataFrame, compat: bool = False) -> DataFrame:
     """All five indexes of bulletins."""
     b = bulletins.withColumn("doc_id", F.col("fichier"))

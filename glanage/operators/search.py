@@ -1,7 +1,7 @@
 """Search: a structured query lowered to semi and anti joins over the postings.
 
-``docs`` has doc_id, date, rubrique and has_image; ``postings`` has field, term
-and doc_id. Postings are filtered to the named terms before anything moves.
+``docs`` has one row per doc_id, with date, rubrique and has_image; ``postings``
+has field, term and doc_id. Postings are filtered to the named terms before anything moves.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from glanage.plans.question import analyse
 
 
 def having_terms(postings: DataFrame, field: str, terms: Sequence[str], op: str = "and") -> DataFrame:
-    """doc_id of documents with any (or) or all (and) of the terms; terms in no document are ignored, none known gives none."""
+    """doc_id, maybe repeated, of documents with any (or) or all (and) of the terms; terms in no document are ignored, none known gives none."""
     own = postings.where((F.col("field") == field) & F.col("term").isin(list(terms)))
-    if op == "or":
-        return own.select("doc_id").distinct()
+    if op == "or" or len(set(terms)) == 1:
+        return own.select("doc_id")  # repeats don't matter to a semi or anti join
     known = own.agg(F.count_distinct("term").alias("known"))
     per_doc = own.groupBy("doc_id").agg(F.count_distinct("term").alias("n"))
     return per_doc.join(F.broadcast(known), F.col("n") == F.col("known")).select("doc_id")  # one row
@@ -105,7 +105,7 @@ def search(q: StructuredQuery, docs: DataFrame, postings: DataFrame, compat: boo
             out = docs
     if q.kw_no:
         out = out.join(having_terms(postings, "texte", q.kw_no, "or"), "doc_id", "left_anti")
-    return sections(out) if q.target == "rubriques" else out.select("doc_id").distinct()
+    return sections(out) if q.target == "rubriques" else out.select("doc_id")
 
 
 class SearchEngine:
