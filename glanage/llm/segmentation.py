@@ -171,50 +171,57 @@ class Lattice:
         bounds = np.append(np.flatnonzero(letter | (data == _END)), len(data))
         follow = np.zeros(len(data) + 1, np.int64)
         follow[bounds[:-1]] = bounds[1:]
-        b, s = np.concatenate(begins), np.concatenate(stops)
         own = np.zeros(len(data) + 1, bool)
-        own[b[s == follow[b]]] = True
+        for b, s in zip(begins, stops, strict=True):
+            own[b[s == follow[b]]] = True
         lone = at[~own[at]]
         if len(lone):
             size = follow[lone] - lone
             spelled = np.repeat(lone, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            b, s = np.concatenate([b, spelled]), np.concatenate([s, spelled + 1])
-            ids.append(voc.byte_ids[data[spelled]])
-        piece = np.concatenate(ids)
+            begins.insert(0, spelled)
+            stops.insert(0, spelled + 1)
+            ids.insert(0, voc.byte_ids[data[spelled]])
+        # Edges go to their start's place, the longest first: likely ones are found early then.
+        # No list names a start twice, so each is placed at once.
+        count = np.bincount(np.concatenate(begins), minlength=len(data) + 1)
+        self.first = np.cumsum(count) - count
+        fill, total = self.first.copy(), int(count.sum())
+        self.begin, self.stop, self.piece = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int32)
+        for b, s, piece in zip(reversed(begins), reversed(stops), reversed(ids), strict=True):
+            to = fill[b]
+            fill[b] += 1
+            self.begin[to], self.stop[to], self.piece[to] = b, s, piece
         # Paths only meet at positions that no edge spans; sums start anew there.
-        spans = np.bincount(b + 1, minlength=len(data) + 2) - np.bincount(s, minlength=len(data) + 2)
+        spans = np.bincount(self.begin + 1, minlength=len(data) + 2) - np.bincount(self.stop, minlength=len(data) + 2)
         cuts = np.where(np.cumsum(spans)[: len(data)] == 0, np.arange(len(data)), len(data))
-        stop = np.minimum.accumulate(cuts[::-1])[::-1][b + 1]
-        order = np.argsort(((stop - b) << 40) + (b << 6) + (s - b))
-        b, s, piece, stop = b[order], s[order], piece[order], stop[order]
+        stop = np.minimum.accumulate(cuts[::-1])[::-1][self.begin + 1]
+        left = stop - self.begin
+        order = np.argsort(left.astype(np.uint16) if total and left.max() < 1 << 16 else left, kind="stable")
+        b, s, left = self.begin[order], self.stop[order], left[order]
         beta = np.zeros(len(data) + 1)
-        value = voc.weight[piece]
-        inside = s != stop
-        level = np.flatnonzero(np.r_[True, np.diff(stop - b) != 0]) if len(b) else np.zeros(0, np.int64)
-        first = np.r_[True, b[1:] != b[:-1]] if len(b) else np.zeros(0, bool)
-        for lo, hi in zip(level, np.append(level[1:], len(b)), strict=True):
+        value = voc.weight[self.piece[order]]
+        inside = s != stop[order]
+        level = np.flatnonzero(np.r_[True, left[1:] != left[:-1]]) if total else np.zeros(0, np.int64)
+        first = np.r_[True, b[1:] != b[:-1]] if total else np.zeros(0, bool)
+        for lo, hi in zip(level, np.append(level[1:], total), strict=True):
             value[lo:hi] += np.where(inside[lo:hi], beta[s[lo:hi]], 0)
             v, f = value[lo:hi], np.flatnonzero(first[lo:hi])
             top = np.maximum.reduceat(v, f)
-            total = np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(f, hi - lo)))), f)
-            beta[b[lo:hi][f]] = top + np.log(total)
-        share = np.exp(value - beta[b])
-        # Likely edges first: draws then seldom look further. No two keys are equal, so batches don't matter.
-        order = np.argsort((b << 16) + ((255 - (share * 255).astype(np.int64)) << 8) + (s - b))
-        self.begin, self.stop, self.piece, self.share = b[order], s[order], piece[order], share[order]
-        first = np.flatnonzero(np.r_[True, np.diff(self.begin) != 0]) if len(b) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(f, hi - lo)))), f)
+            beta[b[lo:hi][f]] = top + np.log(sums)
+        self.share = np.empty(total)
+        self.share[order] = np.exp(value - beta[b])
+        starts = np.flatnonzero(count)
+        head, sizes = self.first[starts], count[starts]
         within = np.cumsum(self.share)
-        within -= np.repeat(within[first] - self.share[first], np.diff(np.append(first, len(b))))
+        within -= np.repeat(within[head] - self.share[head], sizes)
         self.reach = np.round(within, 9)  # the sum runs over the batch: drop what depends on it
-        self.reach[np.append(first[1:], len(b)) - 1] = 1.0
-        self.first = np.zeros(len(data) + 1, np.int32)
-        self.first[self.begin[first]] = first
+        self.reach[head + sizes - 1] = 1.0
+        self.count = count
 
     def edges(self, node: int) -> list[int]:
-        lo = hi = int(self.first[node])
-        while hi < len(self.begin) and self.begin[hi] == node:
-            hi += 1
-        return list(range(lo, hi))
+        lo = int(self.first[node])
+        return list(range(lo, lo + int(self.count[node])))
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node, by the edges' shares."""
