@@ -57,6 +57,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def place(seed: int, *columns: str) -> Column:
+    """A number from 0 to 1 that a hash of the columns gives: the order of bounded samples.
+
+    To take the first k of N rows in this order, look only at places under
+    2 k / N: what tasks then pass on doesn't grow with their number.
+    """
+    return F.xxhash64(F.lit(seed), *columns) / 2.0**64 + 0.5
+
+
 def chunks(sizes: list[int], most: int) -> Iterator[slice]:
     """Slices of consecutive rows whose sizes sum to about ``most``; one row at least."""
     start = total = 0

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glanage.llm.common import mapped, pick, saved
+from glanage.llm.common import mapped, pick, place, saved
 
 
 @dataclass(frozen=True)
@@ -103,9 +103,13 @@ def fit_text(docs: DataFrame, params: LanguageParams) -> tuple[list[str], np.nda
     rows = pick(docs, id="doc_id", text="text", lang="lang").where("lang is not null and id is not null")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.languages).collect()
     langs = sorted(r["lang"] for r in counts)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(params.seed), "id"), "id")
-    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= params.train_chars).where(F.col("lang").isin(langs)).select("id", "lang")
-    chosen = short.withColumn("r", F.row_number().over(order)).where(F.col("r") <= params.rows_per_lang).select("id").distinct()
+    if not langs:
+        return [], np.zeros((0, params.buckets), np.float32)
+    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= params.train_chars).select("id", "lang", place(params.seed, "id").alias("o"))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], 2 * params.rows_per_lang / r["count"])))
+    early = short.where(F.col("lang").isin(langs)).where(F.col("o") < F.element_at(share, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("o", "id")
+    chosen = early.withColumn("r", F.row_number().over(order)).where(F.col("r") <= params.rows_per_lang).select("id").distinct()
     sample = rows.join(F.broadcast(chosen), "id").select("lang", "text").toPandas()  # languages x rows_per_lang ids: bounded
     table = np.full((len(langs), params.buckets), params.smoothing)
     for lang, text in zip(sample["lang"], sample["text"], strict=True):
