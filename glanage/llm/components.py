@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glanage.llm.common import saved
+from glanage.llm.common import forget, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,4 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         near = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(near, "hi").select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        now = saved(small.select("e.lo", "e.hi").where("lo < hi").distinct(), "edges")
+        last, now = now, saved(small.select("e.lo", "e.hi").where("lo < hi").distinct(), "edges")
+        forget(last)

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glanage.llm.common import mapped, pick, saved
+from glanage.llm.common import forget, mapped, pick, saved
 from glanage.llm.components import components
 
 
@@ -246,9 +246,11 @@ def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:
         open_ = saved(now.join(largest, "bucket").where(F.col("label") != F.col("top.label")).drop("top"), "open")
         more = saved(first(open_.join(pivots, ["bucket", "id"], "left_anti"), params.pivots), "pivots")
         if more.isEmpty():
+            forget(open_, more)
             break
         pivots = pivots.unionByName(more)
         edges = saved(edges.unionByName(verify(meet(more, open_).distinct(), texts, params)), "links")
+    forget(members, texts, many, edges)
     root = nodes.select("id", "key").join(label, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
     return sig.select(F.col("id").alias("doc_id"), "key").join(root, "key").select("doc_id", "class_id")
 
