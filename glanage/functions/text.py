@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Articles and small words left out of queries and title indexes, as fixed values.
-ARTICLES = ("le", "la", "les", "un", "une", "des", "du", "de", "au", "aux", "a", "à", "en", "dans", "l'", "d'", "ce", "cette", "ces", "sur", "pour")
+#: Articles and contractions left out of indexes, as fixed values and in order.
+ARTICLES = ("le", "la", "les", "un", "une", "des", "du", "de la", "de l’", "de", "d'", "l’", "l'", "au", "aux", "à la", "à l’")
+_ALONE = tuple(a for a in ARTICLES if " " not in a)
 #: Signs that become blanks before a title or text is indexed, as fixed values.
 INDEX_SIGNS = '.,?:\n"!'
 
@@ -49,9 +50,21 @@ def title_and_text(title: Column, text: Column) -> Column:
 
 
 def index_words(text: Column, articles: Sequence[str] = ARTICLES) -> Column:
-    """Words for an index: signs blanked, lower case, articles left out as whole words."""
+    """Words for an index: signs blanked, lower case, without articles.
+
+    Articles go as whole words, elided ones (``l'eau``) from the front of their
+    word, and ``à`` only as part of ``à la`` and ``à l'``.
+    """
     blanked = F.translate(text, INDEX_SIGNS, " " * len(INDEX_SIGNS))
-    return F.filter(words(F.lower(blanked)), lambda t: ~t.isin(*articles))
+    w = words(F.lower(blanked))
+    alone = [a for a in articles if " " not in a]
+
+    def kept(t: Column, i: Column) -> Column:
+        then = F.coalesce(F.get(w, i + 1), F.lit(""))
+        return ~t.isin(alone) & ~((t == "à") & ((then == "la") | then.rlike("^l['’]")))
+
+    bare = F.transform(F.filter(w, kept), lambda t: F.regexp_replace(t, "^(?:d'|l['’])", ""))
+    return F.filter(bare, lambda t: t != "")
 
 
 def index_words_compat(text: Column, articles: Sequence[str] = ARTICLES) -> Column:
@@ -67,7 +80,7 @@ def query_text(text: Column) -> Column:
     return F.lower(F.translate(text, "’?.", "'"))
 
 
-def without_words(text: Column, stop: Sequence[str]) -> Column:
+def without_words(text: Column, stop: Sequence[str] = _ALONE) -> Column:
     """The text without the given words, by whole words."""
     return F.array_join(F.filter(words(text), lambda t: ~t.isin(*stop)), " ")
 

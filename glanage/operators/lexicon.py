@@ -13,7 +13,7 @@ from glanage.functions import stem as rules
 from glanage.functions import text
 
 #: Letters that an edit may insert or put in place of another, as fixed values.
-LETTERS = "abcdefghijklmnopqrstuvwxyzàâäçéèêëîïôöùûüÿ"
+LETTERS = "abcdefghijklmnopqrstuvwxyzéàèùâêîôûçëïüœæ"
 
 
 def distinct_words(tokens: DataFrame, column: str = "mot") -> DataFrame:

@@ -54,11 +54,13 @@ TOKENS = f"tok as (select doc_id, unnest(list_filter(regexp_split_to_array({_CLE
 TF = f"{TOKENS}, tf as (select mot, doc_id, count(*) as tf from tok group by 1, 2)"
 IDF = f"{TF}, idf as (select mot, log10((select count(distinct doc_id) from tf) / count(*)) as idft from tf group by 1)"
 SCORED = f"{IDF}, w as (select doc_id, tf.mot, tf * idft as tf_idf from tf join idf using (mot))"
-_ARTICLES = "'le','la','les','un','une','des','du','de','au','aux','a','à','en','dans','l''','d''','ce','cette','ces','sur','pour'"
+_ARTICLES = "'le','la','les','un','une','des','du','de','d''','l’','l''','au','aux'"
 POSTINGS = (
-    "idx as (select term, doc_id, cast(count(*) as int) as tf from (select doc_id, unnest(regexp_split_to_array(lower("
-    "translate(coalesce(text, ''), '.,?:' || chr(10) || '\"!', '       ')), '\\s+')) as term from documents) "
-    f"where term <> '' and term not in ({_ARTICLES}) group by 1, 2)"
+    "words as (select doc_id, list_filter(regexp_split_to_array(lower("
+    "translate(coalesce(text, ''), '.,?:' || chr(10) || '\"!', '       ')), '\\s+'), lambda x: x <> '') as w from documents), "
+    "idx as (select term, doc_id, cast(count(*) as int) as tf from (select doc_id, unnest(list_transform(list_filter(w, lambda t, i: "
+    f"t not in ({_ARTICLES}) and not (t = 'à' and coalesce(w[i + 1] = 'la' or regexp_matches(w[i + 1], '^l[''’]'), false))), "
+    "lambda t: regexp_replace(t, '^(?:d''|l[''’])', ''))) as term from words) where term <> '' group by 1, 2)"
 )
 BULLETINS = (
     "b as (select doc_id, source as rubrique, contains(lower(text), 'licens') as has_image, cast(o_orderdate as date) as date "

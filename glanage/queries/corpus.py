@@ -25,7 +25,7 @@ def normalised(spark: SparkSession, sf: str) -> DataFrame:
         F.length(text.clean_light(t)).cast("long").alias("light"),
         F.size(text.blank_words(text.clean_light(t))).cast("long").alias("blanks"),
         F.length(text.query_text(t)).cast("long").alias("query"),
-        F.size(text.words(text.without_words(F.lower(t), text.ARTICLES))).cast("long").alias("content"),
+        F.size(text.words(text.without_words(F.lower(t)))).cast("long").alias("content"),
         text.has_letter(t).alias("letter"),
         text.has_number(t).alias("number"),
         F.length(text.without_controls(t)).cast("long").alias("printable"),

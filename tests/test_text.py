@@ -21,6 +21,7 @@ def one(spark, fn, value):
         (text.blank_words, "a  b", ["a", "", "b"]),
         (text.elided_words, "J’aime l'eau, lui-même (2012). Où ?", ["j’", "aime", "l'", "eau", "lui-même", "2012", "où"]),
         (text.index_words, "Le projet universitaire, un essai", ["projet", "universitaire", "essai"]),
+        (text.index_words, "l'eau à la mer, à l’ombre et à Paris", ["eau", "mer", "ombre", "et", "à", "paris"]),
         (text.index_words_compat, "Le projet universitaire, un essai", ["le", "projet", "iversitaire", "essai"]),
         (text.query_text, "Où est l’eau ?", "où est l'eau "),
         (text.has_letter, "12 é", True),
