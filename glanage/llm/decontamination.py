@@ -12,7 +12,8 @@ or number in the item always stands for the same one in the document. That
 catches re-parameterised copies and refuses accidental template matches.
 
 A document is contaminated by an item if a consistent alignment covers at least
-half of the item's tokens. Windows with fewer than four plain words are not
+half of the item's tokens, or 13 of them: an excerpt of that length gives the
+item away. Windows with fewer than four plain words are not
 evidence and are left out on both sides.
 
 Cases: null and empty texts have no tokens and match nothing; an item of fewer
@@ -33,6 +34,8 @@ from glanage.llm.common import pick, saved
 WINDOW = 8
 #: Share of an item's tokens that a consistent alignment must cover.
 COVERAGE = 0.5
+#: Tokens that are enough whatever their share.
+ENOUGH = 13
 #: Plain words that a window must have.
 PLAIN = 4
 #: Benchmark windows are broadcast only below this many rows (about 32 bytes each).
@@ -111,7 +114,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     spans = matches.groupBy("doc_id", "form", "diagonal").agg(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("w") - 1))).alias("s"))
     spans = saved(spans.withColumn("s", F.array_sort(F.array_distinct("s"))), "alignments")
     words = tokenised(rows.join(spans.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").distinct()).select(F.col("id").alias("doc_id"), "raw")
-    aligned = spans.join(forms, "form").where(F.size("s") >= COVERAGE * F.size("t")).join(words, "doc_id")
+    aligned = spans.join(forms, "form").where(F.size("s") >= F.least(COVERAGE * F.size("t"), F.lit(ENOUGH))).join(words, "doc_id")
     filled = F.filter("s", lambda p: F.element_at("slot", p + 1).isNotNull())
     paired = F.transform(filled, lambda p: F.struct(F.element_at("slot", p + 1).alias("a"), F.try_element_at("raw", p + F.col("diagonal") + 1).alias("b")))
     aligned = aligned.select("doc_id", "form", F.size("t").alias("item_tokens"), F.size("s").alias("covered"), paired.alias("pairs"))
@@ -168,7 +171,7 @@ m as (
 al as (
   select m.doc_id, m.item_id, len(b.t) as item_tokens, len(m.s) as covered,
     list_transform(list_filter(m.s, lambda p: b.t[p + 1][1] = '<'), lambda p: {{'a': b.raw[p + 1], 'b': d.raw[p + m.diagonal + 1]}}) as pairs
-  from m join b on b.id = m.item_id join d on d.id = m.doc_id where len(m.s) >= {COVERAGE} * len(b.t)),
+  from m join b on b.id = m.item_id join d on d.id = m.doc_id where len(m.s) >= least({COVERAGE} * len(b.t), {ENOUGH})),
 ok as (
   select doc_id, item_id, item_tokens, covered, len(pairs) as slots from al
   where len(list_distinct(pairs)) = len(list_distinct(list_transform(pairs, lambda x: x.a)))

@@ -24,6 +24,13 @@ def test_equal_templates_and_short_items(spark, documents):
     assert found(spark, documents, docs, items) == {(1, 1), (1, 2), (2, 3)}
 
 
+def test_excerpts(spark, documents):
+    item = " ".join("w" + "abcdefgh"[i % 8] * (i // 8 + 1) for i in range(60))
+    words = item.split()
+    docs = [(n, "before " + " ".join(words[20 : 20 + n]) + " after") for n in (7, 12, 13, 20)]
+    assert found(spark, documents, docs, [(1, item)]) == {(13, 1), (20, 1)}
+
+
 def test_odd_rows(spark, documents, odd):
     assert found(spark, documents, odd, [(1, ITEM)]) == set()
     assert found(spark, documents, [], [(1, ITEM)]) == set()

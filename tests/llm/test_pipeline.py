@@ -71,7 +71,7 @@ def leaked(text, items):
                     spots.setdefault(i - j, set()).update(range(j, j + 8))
         for shift, covered in spots.items():
             pairs = {(item[p][1], words[p + shift][1]) for p in covered if item[p][0][0] == "<"}
-            if len(covered) >= 0.5 * len(item) and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs):
+            if len(covered) >= min(0.5 * len(item), 13) and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs):
                 return True
     return False
 
