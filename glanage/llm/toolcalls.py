@@ -18,8 +18,8 @@ conversation.
 
 Cases: calls without conversation or identifier can't be linked and are left
 out; a call without result and a result without call each give a row that says
-so; of calls or results that share an identifier the least (turn, then content)
-counts and the row says there were more; arguments that are null or no JSON
+so; of calls or results that share an identifier the least (by turn, dependencies
+and content) counts and the row says there were more; arguments that are null or no JSON
 object, tools without schema, missing, unknown and mistyped arguments are
 errors, in that order; a dependency that doesn't exist is an error and else
 ignored; empty tables give an empty result; extra columns are ignored.
@@ -129,19 +129,23 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     key = ["conv_id", "call_id"]
     there = "conv_id is not null and call_id is not null"
-    one = calls.where(there).groupBy(key).agg(F.min(F.struct("turn", "name", "arguments", F.sort_array("depends_on").alias("depends_on"))).alias("c"), F.count("*").alias("n_calls"))
-    one = one.select(*key, "c.*", "n_calls")
-    answer = results.where(there).groupBy(key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
-    both = validated(ordered(one), schemas).join(answer, key, "full_outer")
+    # One shuffle brings a call and its result together; the order is worked out on slim rows.
+    c = calls.where(there).select(*key, F.struct("turn", F.sort_array("depends_on").alias("depends_on"), "name", "arguments").alias("c"))
+    r = results.where(there).select(*key, F.struct("turn", "content").alias("r"))
+    met = c.unionByName(r, allowMissingColumns=True).groupBy(key)
+    met = met.agg(F.min("c").alias("c"), F.count("c").alias("n_calls"), F.min("r").alias("r"), F.count("r").alias("n_results"))
+    slim = calls.where(there).groupBy(key).agg(F.min(F.struct("turn", F.sort_array("depends_on").alias("depends_on"))).alias("c")).select(*key, "c.*")
+    place = saved(ordered(slim).select(*key, "ready", "hop", "cyclic", "absent"), "calls")
+    both = validated(met.select(*key, "c.*", "n_calls", "r", "n_results").join(place, key, "left"), schemas)
     none = F.array().cast("array<string>")
     flag = lambda condition, text: F.when(condition, F.array(F.lit(text))).otherwise(none)
     errors = F.concat(
-        F.coalesce("errors", none),
+        F.when(F.col("n_calls") > 0, F.col("errors")).otherwise(none),
         F.coalesce(F.transform("absent", lambda d: F.concat(F.lit("no dependency "), d)), none),
         flag(F.col("cyclic"), "cyclic dependency"),
         flag(F.col("n_calls") > 1, "more calls of this id"),
-        flag(F.col("n_calls").isNull(), "result without call"),
-        flag(F.col("n_results").isNull(), "call without result"),
+        flag(F.col("n_calls") == 0, "result without call"),
+        flag(F.col("n_results") == 0, "call without result"),
         flag(F.col("n_results") > 1, "more results of this id"),
     )
     rows = both.select(
@@ -151,16 +155,19 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         F.coalesce("canonical", F.lit("null")).alias("canonical"),
         F.col("r.turn").alias("result_turn"),
         F.col("r.content").alias("content"),
-        F.col("n_results").isNotNull().alias("answered"),
+        (F.col("n_results") > 0).alias("answered"),
         F.coalesce("ready", "r.turn", F.lit(0)).alias("ready"),
         F.coalesce("hop", F.lit(0)).alias("hop"),
         F.coalesce("turn", "r.turn", F.lit(0)).alias("turn"),
-    ).withColumn("block", F.floor(F.col("ready") / BLOCK))
-    blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
+    )
+    # Positions are counted on keys alone, so texts stay where the links were made.
+    places = saved(rows.select(*key, "ready", "hop", "turn").withColumn("block", F.floor(F.col("ready") / BLOCK)), "places")
+    blocks = places.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("conv_id", "block").orderBy("ready", "hop", "turn", "call_id")
-    rows = rows.join(blocks, ["conv_id", "block"]).withColumn("seq", F.col("offset") + F.row_number().over(within))
+    places = places.join(blocks, ["conv_id", "block"]).select(*key, (F.col("offset") + F.row_number().over(within)).alias("seq"))
+    rows = rows.join(places, key)
     result = F.when(F.col("answered"), F.concat(F.lit('{"content":'), quoted(F.col("content")), F.lit(',"turn":'), F.coalesce(F.col("result_turn").cast("string"), F.lit("null")), F.lit("}"))).otherwise("null")
     json = F.concat(
         F.lit('{"arguments":'),
@@ -209,7 +216,7 @@ call_rows as (
     to_json({{'chars': coalesce(length(text), 0), 'query': text, 'turn': turn}}) as args,
     case when turn >= 3 then 'call_' || conv_id || '_' || (turn - 2) end as dep
   from c where role = 'user'),
-calls as (select conv_id, call_id, min(struct_pack(turn, name, args, dep)) as v, count(*) as n_calls from call_rows group by all),
+calls as (select conv_id, call_id, min(struct_pack(turn, dep, name, args)) as v, count(*) as n_calls from call_rows group by all),
 results as (
   select conv_id, 'call_' || conv_id || '_' || (turn - 1) as call_id, min(struct_pack(turn, text)) as r, count(*) as n_results
   from c where role = 'assistant' group by all),
