@@ -18,11 +18,12 @@ texts all pairs are candidates. In a larger one every text meets a few pivots,
 those that are in the largest buckets elsewhere: in a group of copies these are
 the ones with the fewest changes, which are near all others. Texts that this
 leaves outside their bucket's largest component elect new pivots among
-themselves and meet those, again and again as long as that finds links. So the
-pairs grow with the number of texts, not with the square of a group's size. A
-link is found if its texts share a small bucket or one is a pivot of a bucket
-of both; one between two texts that are no pivots of any of their common, large
-buckets is found only as part of the component (the README has the recall).
+themselves and meet those, again and again as long as that finds many links. The
+texts that are open even then meet all others of their buckets, block by block:
+a matrix product counts the shingles that the texts of two blocks share, and
+only pairs that share enough of them are aligned. So every two texts that share
+a bucket end in one class or have been compared; alignments grow with the
+number of texts, and only these counts with the square of the texts left open.
 
 Probability of missing a link of similarity s is (1 - s^ell)^sketches: 2e-5 for
 texts at the threshold, and less above. Texts of at most 40 shingles use
@@ -62,6 +63,9 @@ class OmhParams:
     small: int = 12
     #: Pivots that a larger bucket elects in a round.
     pivots: int = 4
+    #: Texts, and shingles, of a block of those that pivots leave open.
+    block: int = 1024
+    block_shingles: int = 1 << 20
     seed: int = 11
 
 
@@ -191,6 +195,77 @@ def verify(pairs: DataFrame, texts: DataFrame, params: OmhParams) -> DataFrame:
     return mapped(pairs.join(one, "a").join(two, "b"), run, "a long, b long")
 
 
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each array of ``left`` shares with each of ``right``; every array's are distinct."""
+    flat, rows = [np.concatenate(x) for x in (left, right)], [np.repeat(np.arange(len(x)), [len(a) for a in x]) for x in (left, right)]
+    known = np.intersect1d(*flat)
+    both = []
+    for x, r in zip(flat, rows, strict=True):
+        at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+        there = known[at] == x if len(known) else np.zeros(len(x), bool)
+        order = np.argsort(at[there], kind="stable")
+        both.append((at[there][order], r[there][order]))
+    count = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(known), 4096):
+        parts = []
+        for (at, r), size in zip(both, count.shape, strict=True):
+            a, b = np.searchsorted(at, (lo, lo + 4096))
+            part = np.zeros((size, min(4096, len(known) - lo)), np.float32)
+            part[r[a:b], at[a:b] - lo] = 1
+            parts.append(part)
+        count += parts[0] @ parts[1].T
+    return count
+
+
+def rest(members: DataFrame, texts: DataFrame, params: OmhParams) -> DataFrame:
+    """Pairs (a, b) of all texts of a bucket that have different labels and share enough shingles to be linked.
+
+    ``members`` has bucket, id, n, label and open; texts that aren't open have their bucket's one label.
+    A bucket of up to ``block`` texts is one cell, a larger one has cells by open, length and a hash of the id.
+    """
+
+    def slim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # 32 bits do for an upper bound; what equal ones hide is allowed for below.
+        for b in batches:
+            short = [np.unique(labelled(words_of(t), params.shingle).astype(np.uint32)).view(np.int32) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "s": short})
+
+    known = saved(mapped(texts.join(members.select("id").distinct(), "id", "left_semi"), slim, "id long, s array<int>"), "shingles")
+    # Lengths of linked texts differ by one class at most.
+    length = F.floor(F.log("n") / float(np.log(1.001 / params.similarity)))
+    size = members.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    whole = (F.col("c") <= params.block) & (F.col("t") <= params.block_shingles)
+    placed = members.join(size.select("bucket", whole.alias("whole")), "bucket")
+    placed = placed.select("bucket", "id", "n", "label", (F.col("whole") | F.col("open")).alias("open"), F.when(F.col("whole"), 0).otherwise(length).alias("len"))
+    cells = placed.groupBy("bucket", "open", "len").agg(F.ceil(F.greatest(F.count("*") / params.block, F.sum("n") / params.block_shingles)).alias("k"))
+    placed = saved(placed.join(cells, ["bucket", "open", "len"]).withColumn("k", F.pmod(F.xxhash64("id"), "k")), "cells")
+    cells = placed.select("bucket", "open", "len", "k").distinct()
+    one = cells.where("open").select("bucket", F.col("len").alias("l1"), F.col("k").alias("k1"))
+    two = cells.select("bucket", F.col("open").alias("o2"), F.col("len").alias("l2"), F.col("k").alias("k2"))
+    met = one.join(two, "bucket").where((F.abs(F.col("l1") - F.col("l2")) <= 1) & (~F.col("o2") | (F.struct("l1", "k1") <= F.struct("l2", "k2"))))
+    met = saved(met, "meetings")
+    keys = ["bucket", "l1", "k1", "o2", "l2", "k2"]
+    own = F.col("o2") & (F.col("l1") == F.col("l2")) & (F.col("k1") == F.col("k2"))
+    first = placed.where("open").select("bucket", "id", "n", "label", F.col("len").alias("l1"), F.col("k").alias("k1")).join(met, ["bucket", "l1", "k1"])
+    second = placed.select("bucket", "id", "n", "label", F.col("open").alias("o2"), F.col("len").alias("l2"), F.col("k").alias("k2")).join(met.where(~own), ["bucket", "o2", "l2", "k2"])
+    rows = first.select(*keys, "id", "n", "label", F.lit(True).alias("left")).unionByName(second.select(*keys, "id", "n", "label", F.lit(False).alias("left")))
+
+    def compare(p: pd.DataFrame) -> pd.DataFrame:
+        x, y = p[p["left"]], p[~p["left"]]
+        if not len(y):
+            y = x
+        count = shared(list(x["s"]), list(y["s"]))
+        n, m = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None]
+        hidden = (n - x["s"].map(len).to_numpy()[:, None]) + (m - y["s"].map(len).to_numpy()[None])
+        good = count + hidden >= params.similarity / (1 + params.similarity) * (n + m) - 1e-3
+        good &= (x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None]) & (np.minimum(n, m) >= params.similarity * np.maximum(n, m))
+        i, j = np.nonzero(good)
+        a, b = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return rows.join(known, "id").groupBy(*keys).applyInPandas(compare, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of every row of ``docs`` that has a doc_id."""
     rows = pick(docs, id="doc_id", text="text").select(F.col("id").cast("long").alias("id"), "text")
@@ -238,7 +313,8 @@ def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:
     while True:
         label = saved(components(edges), "components")
         found = edges.count()
-        if found == links:
+        # What a round leaves is compared in blocks; further rounds only save work, as long as they find much.
+        if found <= 1.1 * links:
             break
         links = found
         now = many.join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -250,6 +326,13 @@ def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:
             break
         pivots = pivots.unionByName(more)
         edges = saved(edges.unionByName(verify(meet(more, open_).distinct(), texts, params)), "links")
+    now = many.join(label.withColumnRenamed("root", "label"), "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
+    largest = now.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"))
+    left = saved(now.join(largest.where("labels > 1"), "bucket").select("bucket", "id", "n", "label", (F.col("label") != F.col("top.label")).alias("open")), "open")
+    if not left.isEmpty():
+        more = saved(verify(rest(left, texts, params), texts, params), "links")
+        if not more.isEmpty():
+            label = saved(components(edges.unionByName(more)), "components")
     forget(members, texts, many, edges)
     root = nodes.select("id", "key").join(label, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
     return sig.select(F.col("id").alias("doc_id"), "key").join(root, "key").select("doc_id", "class_id")

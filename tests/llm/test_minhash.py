@@ -73,6 +73,55 @@ def test_large_group_meets_its_original(documents):
     assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
 
 
+def all_pairs(rows):
+    """Classes by counting the common shingles of all pairs and aligning those that share enough."""
+    labels = [m.labelled(m.words_of(t), 5) for _, t in rows]
+    vocabulary, at = np.unique(np.concatenate(labels), return_inverse=True)
+    times = np.bincount(at)
+    column = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in labels])
+    there = np.zeros((len(rows), int((times > 1).sum())), np.float32)
+    there[owner[times[at] > 1], column[at[times[at] > 1]]] = 1
+    n = np.array([len(x) for x in labels])
+    likely = np.argwhere(np.triu(there @ there.T >= 0.8 / 1.8 * (n[:, None] + n) - 1e-3, 1))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in likely.tolist():
+        if m.similarity(labels[i], labels[j], 0.8) >= 0.8:
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def substituted(seed, copies):
+    rng = random.Random(seed)
+    base = ["w%d" % i for i in range(250)]
+    rows = []
+    for i in range(copies):
+        words = list(base)
+        for at in rng.sample(range(250), 4):
+            words[at] = "new%d" % rng.randrange(10**9)
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_large_group_without_its_original(documents):
+    rows = substituted(1, 2000)
+    want = all_pairs(rows)
+    assert {r["doc_id"]: r["class_id"] for r in m.classes(documents(rows)).collect()} == want
+
+
+def test_blocks_of_a_large_bucket(documents):
+    rows = substituted(2, 300) + [(1000 + i, t + " x%d" % i * (i % 60)) for i, t in substituted(3, 300)]
+    want = all_pairs(rows)
+    assert {r["doc_id"]: r["class_id"] for r in m.classes(documents(rows), m.OmhParams(block=32)).collect()} == want
+
+
 def test_order_matters():
     a = m.labelled([b"w%d" % i for i in range(100)], 5)
     b = np.concatenate([a[50:], a[:50]])
