@@ -97,11 +97,16 @@ class Scanner:
                     own.append([lo, hi])
         out = []
         for i, own in sorted(windows.items()):
-            for lo, hi in own:
-                at, hi = max(0, lo), min(len(joined), hi)
-                while m := self.patterns[i].search(joined, at, hi):
-                    out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end(), m.start() + 1)
+            text, _, k = self.notices[i]
+            finds = []
+            parts = [(max(0, lo), min(len(joined), hi)) for lo, hi in own]
+            while parts:
+                lo, hi = parts.pop()
+                # The best match may stand anywhere; what is before it counts as well as what is behind.
+                if hi - lo >= len(text) - k and (m := self.patterns[i].search(joined, lo, hi)):
+                    finds.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    parts += [(lo, m.start()), (max(m.end(), m.start() + 1), hi)]
+            out += sorted(finds)
         return out
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int]], list[Found]]:

@@ -63,3 +63,10 @@ def test_odd_rows(documents, odd):
     assert got[7]["n_words"] == 0 and got[30]["base_labels"] == "mit" and got[30]["score"] == 1.0
     assert got[31]["first_word"] == got[31]["last_word"] == 20000
     assert li.license_scan(documents(odd)).count() == len(odd) and li.license_scan(documents([])).count() == 0
+
+
+def test_edited_lines_before_a_better_one(scanner):
+    edited, exact = "released under the mit lisense", "released under the mit license"
+    finds = [f for f in scanner.fuzzy(" ".join([edited] * 5 + [exact] + [edited] * 2)) if f[0] == 0]
+    assert [f[3] for f in finds] == [1] * 5 + [0] + [1] * 2
+    assert all(a[2] <= b[1] for a, b in zip(finds, finds[1:]))
