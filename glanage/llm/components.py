@@ -26,9 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
             )
         before = tuple(seen)
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Kept apart, so that Spark can split the rows of a centre in the join.
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         near = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(near, "hi").select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         last, now = now, saved(small.select("e.lo", "e.hi").where("lo < hi").distinct(), "edges")
-        forget(last)
+        forget(last, least)

@@ -8,33 +8,38 @@ same order, so agreement follows edit similarity and not just set overlap.
 Texts that agree in a sketch fall in one bucket and become candidates.
 
 Candidates are verified by banded alignment of their labelled shingles: with L
-the length of the longest common subsequence, two texts of n and m shingles are
-linked if L / (n + m - L) is 0.8 or more. Such an alignment never leaves a band
-of (n + m) / 9 around the diagonal, so only matches inside the band are used.
-A document's class is its connected component.
+the length of the longest common subsequence, the edit similarity of two texts
+of n and m shingles is L / max(n, m); from 0.8 they are linked. Such an alignment
+never leaves a band of max(n, m) / 5 around the diagonal, so only matches inside
+the band are used. A document's class is its connected component.
 
 How the work stays bounded: equal texts collapse first. In a bucket of few
-texts all pairs are candidates. In a larger one every text meets a few pivots,
-those that are in the largest buckets elsewhere: in a group of copies these are
-the ones with the fewest changes, which are near all others. Texts that this
-leaves outside their bucket's largest component elect new pivots among
-themselves and meet those, again and again as long as that finds many links. The
-texts that are open even then meet all others of their buckets, block by block:
-a matrix product counts the shingles that the texts of two blocks share, and
-only pairs that share enough of them are aligned. So every two texts that share
-a bucket end in one class or have been compared; alignments grow with the
-number of texts, and only these counts with the square of the texts left open.
-
-Probability of missing a link of similarity s is (1 - s^ell)^sketches: 2e-5 for
-texts at the threshold, and less above. Texts of at most 40 shingles use
-shorter sketches, as six shingles are too many of theirs.
+texts all pairs are candidates. In a larger one every text first meets a few
+pivots, those that are in the largest buckets elsewhere: in a group of copies
+these are the ones with the fewest changes, which are near all others. Texts
+that this leaves outside their bucket's largest component then meet all others
+of the bucket, block by block: a matrix product counts the shingles that the
+texts of two blocks share, and of the pairs that share enough, the best first,
+those that nothing connects yet are aligned. So every two texts that share a
+bucket end in one class or have been compared. Alignments grow with the number
+of texts; only the counts grow with the square of the texts that a bucket's
+pivots leave open, and no pair of them leaves its task unless it is a new link.
+What joins by bucket is dealt by parts of the bucket, or by sides whose skew
+Spark can split, so no task gets a large bucket whole.
+
+Probability of missing a link of edit similarity s, which has a share
+j = s / (2 - s) of shingles in common, is (1 - j^ell)^sketches: under 2e-4 for
+texts at the threshold, and less above. Texts of at most 40 shingles also get
+shorter sketches, as four shingles are many of theirs.
 
 Cases: a null or empty text, or one without words, is only grouped with equal
 texts; texts of under five words have one shingle of all their words; long
-texts are sketched whole, in blocks. Rows sharing a doc_id count as one
-document. A row without doc_id gets no class and is kept. Ties never arise:
-the least doc_id names a class. An empty table gives an empty result; extra
-columns are ignored.
+texts are sketched whole, in blocks. There is one row for each doc_id: rows
+repeated count once, and of different texts under one doc_id the one of least
+digest counts. A row without doc_id gets no class and is kept. Ties: the least
+doc_id names a class, the least of equally central texts is the pivot, and of
+the rows of one kept doc_id the stage keeps the least. An empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,10 +51,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glanage.llm.common import forget, mapped, pick, saved
+from glanage.llm.common import mapped, pick, saved
 from glanage.llm.components import components
 
 
@@ -58,14 +63,16 @@ class OmhParams:
     shingle: int = 5
     similarity: float = 0.8
     #: (shingles in a sketch, sketches, least and most shingles of a text that gets them)
-    families: tuple[tuple[int, int, int, int], ...] = ((2, 14, 2, 40), (6, 36, 20, 1 << 40))
+    families: tuple[tuple[int, int, int, int], ...] = ((2, 14, 2, 40), (4, 40, 20, 1 << 40))
     #: Buckets of at most so many texts compare all pairs.
     small: int = 12
-    #: Pivots that a larger bucket elects in a round.
+    #: Pivots that a larger bucket elects.
     pivots: int = 4
     #: Texts, and shingles, of a block of those that pivots leave open.
     block: int = 1024
     block_shingles: int = 1 << 20
+    #: Texts of a bucket that are dealt together where facts about it are joined.
+    part: int = 256
     seed: int = 11
 
 
@@ -133,15 +140,15 @@ def sketches(labels: np.ndarray, params: OmhParams) -> np.ndarray:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """L / (n + m - L) of two labelled sequences by banded alignment; 0 if surely under ``least``."""
+    """L / max(n, m) of two labelled sequences by banded alignment; 0 if surely under ``least``."""
     n, m = len(a), len(b)
-    if min(n, m) < least * max(n, m) or not n or not m:
+    most = max(n, m)
+    if not n or not m or min(n, m) < least * most:
         return 0.0
     _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(ia) < least / (1 + least) * (n + m) - 1e-9:
+    if len(ia) < least * most - 1e-9:
         return 0.0
-    band = (n + m) * (1 - 2 * least / (1 + least)) + 1e-9
-    inside = np.abs(ia - ib) <= band
+    inside = np.abs(ia - ib) <= (1 - least) * most + 1e-9
     ia, ib = ia[inside], ib[inside]
     ib = ib[np.argsort(ia, kind="stable")]
     if (ib[1:] > ib[:-1]).all():
@@ -152,11 +159,11 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
             at = bisect.bisect_left(tails, j)
             tails[at : at + 1] = [j]
         length = len(tails)
-    return length / (n + m - length)
+    return length / most
 
 
 def signatures(docs: DataFrame, params: OmhParams) -> DataFrame:
-    """id, key (digest of the word sequence), n (shingles) and sk (bucket numbers) of every row."""
+    """id, th (hash of the text), key (digest of the word sequence), n (shingles) and sk (bucket numbers) of every row with an id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,9 +175,9 @@ def signatures(docs: DataFrame, params: OmhParams) -> DataFrame:
                 keys.append(xxhash.xxh3_128_hexdigest(raw))
                 ns.append(len(labels))
                 sk.append(sketches(labels, params))
-            yield pd.DataFrame({"id": b["id"], "key": keys, "n": np.array(ns, dtype=np.int64), "sk": sk})
+            yield pd.DataFrame({"id": b["id"], "th": b["th"], "key": keys, "n": np.array(ns, dtype=np.int64), "sk": sk})
 
-    return mapped(docs.where("id is not null").select("id", "text"), run, "id long, key string, n long, sk array<long>")
+    return mapped(docs.where("id is not null").select("id", "th", "text"), run, "id long, th long, key string, n long, sk array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, params: OmhParams) -> DataFrame:
@@ -218,27 +225,27 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def rest(members: DataFrame, texts: DataFrame, params: OmhParams) -> DataFrame:
-    """Pairs (a, b) of all texts of a bucket that have different labels and share enough shingles to be linked.
+    """Links (a, b) that connect what is linked among the texts of each bucket and has different labels.
 
     ``members`` has bucket, id, n, label and open; texts that aren't open have their bucket's one label.
     A bucket of up to ``block`` texts is one cell, a larger one has cells by open, length and a hash of the id.
     """
 
-    def slim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # 32 bits do for an upper bound; what equal ones hide is allowed for below.
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            short = [np.unique(labelled(words_of(t), params.shingle).astype(np.uint32)).view(np.int32) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "s": short})
+            yield pd.DataFrame({"id": b["id"], "s": [labelled(words_of(t), params.shingle).view(np.int64) for t in b["text"]]})
 
-    known = saved(mapped(texts.join(members.select("id").distinct(), "id", "left_semi"), slim, "id long, s array<int>"), "shingles")
+    known = saved(mapped(texts.join(members.select("id").distinct(), "id", "left_semi"), shingled, "id long, s array<long>"), "shingles")
     # Lengths of linked texts differ by one class at most.
     length = F.floor(F.log("n") / float(np.log(1.001 / params.similarity)))
-    size = members.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    size = members.groupBy("bucket", "part").agg(F.first("parts").alias("parts"), F.count("*").alias("c"), F.sum("n").alias("t"))
+    size = size.groupBy("bucket").agg(F.first("parts").alias("parts"), F.sum("c").alias("c"), F.sum("t").alias("t"))
     whole = (F.col("c") <= params.block) & (F.col("t") <= params.block_shingles)
-    placed = members.join(size.select("bucket", whole.alias("whole")), "bucket")
+    placed = members.join(spread(size.select("bucket", "parts", whole.alias("whole"))), ["bucket", "part"])
     placed = placed.select("bucket", "id", "n", "label", (F.col("whole") | F.col("open")).alias("open"), F.when(F.col("whole"), 0).otherwise(length).alias("len"))
+    placed = saved(placed, "placed")
     cells = placed.groupBy("bucket", "open", "len").agg(F.ceil(F.greatest(F.count("*") / params.block, F.sum("n") / params.block_shingles)).alias("k"))
-    placed = saved(placed.join(cells, ["bucket", "open", "len"]).withColumn("k", F.pmod(F.xxhash64("id"), "k")), "cells")
+    placed = saved(placed.join(saved(cells, "counts"), ["bucket", "open", "len"]).withColumn("k", F.pmod(F.xxhash64("id"), "k")), "cells")
     cells = placed.select("bucket", "open", "len", "k").distinct()
     one = cells.where("open").select("bucket", F.col("len").alias("l1"), F.col("k").alias("k1"))
     two = cells.select("bucket", F.col("open").alias("o2"), F.col("len").alias("l2"), F.col("k").alias("k2"))
@@ -252,31 +259,59 @@ def rest(members: DataFrame, texts: DataFrame, params: OmhParams) -> DataFrame:
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         x, y = p[p["left"]], p[~p["left"]]
-        if not len(y):
+        alone = not len(y)
+        if alone:
             y = x
-        count = shared(list(x["s"]), list(y["s"]))
+        sx, sy = list(x["s"]), list(y["s"])
+        share = shared(sx, sy)
         n, m = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None]
-        hidden = (n - x["s"].map(len).to_numpy()[:, None]) + (m - y["s"].map(len).to_numpy()[None])
-        good = count + hidden >= params.similarity / (1 + params.similarity) * (n + m) - 1e-3
-        good &= (x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None]) & (np.minimum(n, m) >= params.similarity * np.maximum(n, m))
-        i, j = np.nonzero(good)
-        a, b = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        most = np.maximum(n, m)
+        good = (share >= params.similarity * most - 1e-3) & (np.minimum(n, m) >= params.similarity * most)
+        lx, ly = x["label"].to_numpy(), y["label"].to_numpy()
+        good &= lx[:, None] != ly[None]
+        i, j = np.nonzero(np.triu(good, 1) if alone else good)
+        order = np.argsort(-(share / most)[i, j], kind="stable")
+        root: dict[int, int] = {}
 
-    return rows.join(known, "id").groupBy(*keys).applyInPandas(compare, "a long, b long").distinct()
+        def find(v: int) -> int:
+            while (u := root.get(v, v)) != v:
+                root[v] = root.get(u, u)
+                v = root[v]
+            return v
+
+        links = []
+        ids, others, lx, ly = x["id"].tolist(), y["id"].tolist(), lx.tolist(), ly.tolist()
+        for i, j in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            u, v = find(lx[i]), find(ly[j])
+            if u != v and similarity(sx[i], sy[j], params.similarity) >= params.similarity:
+                root[u] = v
+                links.append((ids[i], others[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return rows.join(known, "id").groupBy(*keys).applyInPandas(compare, "a long, b long")
+
+
+def spread(facts: DataFrame) -> DataFrame:
+    """A row for each part of a bucket, so that a large bucket's rows needn't meet in one task."""
+    return facts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
 
 def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:
-    """doc_id and class_id (the least doc_id of its class) of every row of ``docs`` that has a doc_id."""
-    rows = pick(docs, id="doc_id", text="text").select(F.col("id").cast("long").alias("id"), "text")
+    """doc_id and class_id (the least doc_id of its class) of every doc_id of ``docs``."""
+    rows = pick(docs, id="doc_id", text="text").select(F.col("id").cast("long").alias("id"), "text").withColumn("th", F.xxhash64("text"))
     sig = saved(signatures(rows, params), "sketches")
-    reps = sig.groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    nodes = saved(reps, "texts")
-    bands = sig.join(nodes.select("id", "key"), ["id", "key"], "left_semi").select("id", "n", F.explode("sk").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = saved(bands.join(shared, "bucket").distinct(), "members")
-    central = members.groupBy("id").agg(F.sum(F.log2("size")).alias("w"))
-    texts = saved(rows.join(central.select("id"), "id").groupBy("id").agg(F.min("text").alias("text")), "candidates")
+    repeated = sig.groupBy("id").agg(F.min(F.struct("key", "th")).alias("v"), F.count("*").alias("c")).where("c > 1").select("id", "v.*")
+    repeated = saved(repeated, "repeated")
+    if not repeated.isEmpty():
+        once = sig.join(repeated, ["id", "key", "th"], "left_semi").dropDuplicates(["id"])
+        sig = saved(sig.join(repeated, "id", "left_anti").unionByName(once), "sketches")
+    nodes = saved(sig.groupBy("key").agg(F.min("id").alias("id")), "texts")
+    bands = sig.join(nodes, ["id", "key"], "left_semi").select("id", "th", "n", F.explode("sk").alias("bucket"))
+    # Kept apart, so that Spark can split a large bucket's rows in the join.
+    large = saved(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = saved(bands.join(large, "bucket"), "members")
+    central = saved(members.groupBy("id").agg(F.sum(F.log2("size")).alias("w"), F.first("th").alias("own")), "central")
+    texts = saved(rows.join(central, "id").where("th = own").groupBy("id").agg(F.first("text").alias("text")), "candidates")
 
     ratio = F.least("n", "m") >= params.similarity * F.greatest("n", "m")
     few = members.where(F.col("size") <= params.small)
@@ -286,55 +321,32 @@ def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:
         .where((F.col("a") < F.col("b")) & ratio)
         .select("a", "b")
     )
-    many = saved(members.where(F.col("size") > params.small).join(central, "id"), "large")
-    order = Window.partitionBy("bucket").orderBy(F.desc("w"), "id")
-
-    def first(candidates: DataFrame, most: int) -> DataFrame:
-        return candidates.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
-
-    def meet(chosen: DataFrame, all_members: DataFrame) -> DataFrame:
-        other = all_members.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
-        met = chosen.select("bucket", F.col("id").alias("a"), "n", "label").join(other, "bucket")
-        met = met.where((F.col("a") != F.col("b")) & (F.col("label") != F.col("label_b")) & ratio)
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    def meet(chosen: DataFrame, members: DataFrame) -> DataFrame:
-        """Each member with the chosen texts of its buckets, every pair once; a bucket's choice is one short list."""
-        lists = chosen.groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "label")).alias("p"))
-        met = members.join(lists, "bucket").groupBy("id", "n", "label").agg(F.array_distinct(F.flatten(F.collect_set("p"))).alias("p"))
-        met = met.select("id", "n", "label", F.explode("p").alias("q")).select("id", "n", "label", "q.id", F.col("q.n").alias("m"), F.col("q.label").alias("other")).toDF("a", "n", "label", "b", "m", "other")
-        met = met.where((F.col("a") != F.col("b")) & (F.col("label") != F.col("other")) & ratio)
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    alone = many.withColumn("label", F.col("id"))
-    pivots = saved(first(alone, params.pivots), "pivots")
-    pairs = pairs.unionByName(meet(pivots, alone)).distinct()
-    edges, links = saved(verify(pairs, texts, params), "links"), -1
-    while True:
-        label = saved(components(edges), "components")
-        found = edges.count()
-        # What a round leaves is compared in blocks; further rounds only save work, as long as they find much.
-        if found <= 1.1 * links:
-            break
-        links = found
-        now = many.join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        largest = now.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"))
-        open_ = saved(now.join(largest, "bucket").where(F.col("label") != F.col("top.label")).drop("top"), "open")
-        more = saved(first(open_.join(pivots, ["bucket", "id"], "left_anti"), params.pivots), "pivots")
-        if more.isEmpty():
-            forget(open_, more)
-            break
-        pivots = pivots.unionByName(more)
-        edges = saved(edges.unionByName(verify(meet(more, open_).distinct(), texts, params)), "links")
-    now = many.join(label.withColumnRenamed("root", "label"), "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-    largest = now.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"))
-    left = saved(now.join(largest.where("labels > 1"), "bucket").select("bucket", "id", "n", "label", (F.col("label") != F.col("top.label")).alias("open")), "open")
+    parts = F.ceil(F.col("size") / params.part)
+    many = members.where(F.col("size") > params.small).join(central.select("id", "w"), "id")
+    many = saved(many.select("bucket", "id", "n", "w", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).alias("part")), "large")
+    # The most central text of each of so many shares of a bucket: found by partial aggregates, whatever the bucket's size.
+    best = many.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(params.seed)), F.lit(params.pivots)).alias("share"))
+    best = best.agg(F.max(F.struct("w", (-F.col("id")).alias("i"), "n")).alias("p"), F.first("parts").alias("parts"))
+    lists = best.groupBy("bucket").agg(F.collect_list(F.struct((-F.col("p.i")).alias("id"), F.col("p.n").alias("n"))).alias("p"), F.first("parts").alias("parts"))
+    met = many.join(spread(saved(lists, "pivots")), ["bucket", "part"]).groupBy("id", "n").agg(F.array_distinct(F.flatten(F.collect_set("p"))).alias("p"))
+    met = met.select("id", "n", F.explode("p").alias("q")).select(F.col("id").alias("a"), "n", F.col("q.id").alias("b"), F.col("q.n").alias("m")).where((F.col("a") != F.col("b")) & ratio)
+    pairs = pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    label = saved(components(verify(pairs, texts, params)), "components")
+
+    now = many.join(label.withColumnRenamed("root", "label"), "id", "left").select("bucket", "id", "n", "parts", "part", F.coalesce("label", "id").alias("label"))
+    top = now.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.first("parts").alias("parts"))
+    top = top.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"), F.first("parts").alias("parts")).where("labels > 1")
+    left = now.join(spread(saved(top.select("bucket", "top", "parts"), "tops")), ["bucket", "part"])
+    left = saved(left.select("bucket", "id", "n", "parts", "part", "label", (F.col("label") != F.col("top.label")).alias("open")), "open")
     if not left.isEmpty():
-        more = saved(verify(rest(left, texts, params), texts, params), "links")
+        more = saved(rest(left, texts, params), "links")
         if not more.isEmpty():
-            label = saved(components(edges.unionByName(more)), "components")
-    forget(members, texts, many, edges)
-    root = nodes.select("id", "key").join(label, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
+            of = lambda c: label.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+            joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            joined = components(joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))).toDF("root", "least")
+            alone = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left_anti").withColumn("root", F.col("id"))
+            label = saved(label.unionByName(alone).join(joined, "root", "left").select("id", F.coalesce("least", "root").alias("root")), "components")
+    root = saved(nodes.join(label, "id", "left").select("key", F.coalesce("root", "id").alias("class_id")), "classes")
     return sig.select(F.col("id").alias("doc_id"), "key").join(root, "key").select("doc_id", "class_id")
 
 
@@ -345,10 +357,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class."""
+    """Keeps one document of each class; of the rows of one doc_id the least."""
     gone = classes(docs).where("doc_id <> class_id").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    again = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if again.isEmpty():
         return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    least = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("v"))
+    return kept.join(again, "doc_id", "left_anti").unionByName(least.select("doc_id", "v.*"))

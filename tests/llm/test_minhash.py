@@ -29,7 +29,7 @@ def brute(rows):
                 before = row[:]
                 for y in range(k):
                     row[y + 1] = before[y] + 1 if x == b[y] else max(before[y + 1], row[y])
-            same = row[k] / (n + k - row[k]) >= 0.8
+            same = row[k] / max(n, k) >= 0.8
         else:
             same = dict(rows)[i] == dict(rows)[j] and n == k
         if same:
@@ -70,7 +70,7 @@ def test_large_group_meets_its_original(documents):
     rows = [(1000, " ".join(base))] + [(i, " ".join(mutated(rng, base, 1))) for i in range(60)]
     got = {r["doc_id"]: r["class_id"] for r in m.classes(documents(rows)).collect()}
     want = brute(rows)
-    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+    assert got == want
 
 
 def all_pairs(rows):
@@ -83,7 +83,7 @@ def all_pairs(rows):
     there = np.zeros((len(rows), int((times > 1).sum())), np.float32)
     there[owner[times[at] > 1], column[at[times[at] > 1]]] = 1
     n = np.array([len(x) for x in labels])
-    likely = np.argwhere(np.triu(there @ there.T >= 0.8 / 1.8 * (n[:, None] + n) - 1e-3, 1))
+    likely = np.argwhere(np.triu(there @ there.T >= 0.8 * np.maximum(n[:, None], n) - 1e-3, 1))
     root = list(range(len(rows)))
 
     def find(x):
@@ -98,13 +98,14 @@ def all_pairs(rows):
     return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
 
 
-def substituted(seed, copies):
+def substituted(seed, copies, changes=6):
+    """Copies of a text that isn't there; most pairs of them are a little under the threshold."""
     rng = random.Random(seed)
     base = ["w%d" % i for i in range(250)]
     rows = []
     for i in range(copies):
         words = list(base)
-        for at in rng.sample(range(250), 4):
+        for at in rng.sample(range(250), changes):
             words[at] = "new%d" % rng.randrange(10**9)
         rows.append((i, " ".join(words)))
     return rows
@@ -142,7 +143,7 @@ def test_banded_alignment_is_exact():
         for i in range(n):
             for j in range(k):
                 t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
-        full = t[n, k] / (n + k - t[n, k])
+        full = t[n, k] / max(n, k)
         got = m.similarity(a, b, 0.8)
         assert (got >= 0.8) == (full >= 0.8) and (full < 0.8 or abs(got - full) < 1e-12)
 
@@ -170,3 +171,28 @@ def test_components(spark):
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 131)) and got[9] == got[5] == got[2] == 2
     assert {v for k, v in got.items() if k >= 1000} == {1000}
+
+
+def test_different_texts_under_one_id(documents):
+    rng = random.Random(8)
+    base = ["w%d" % i for i in range(60)]
+    rows = [(1, "a few words that stand alone here"), (1, " ".join(base)), (1, " ".join(base)), (2, " ".join(mutated(rng, base, 1))), (3, " ".join(mutated(rng, base, 1))), (3, None), (None, " ".join(base))]
+    keys = {r["key"]: r["id"] for r in m.signatures(documents(rows).selectExpr("doc_id as id", "text", "xxhash64(text) as th"), P).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in m.classes(documents(rows)).collect()}
+    least = {i: min(k for k, j in keys.items() if j == i) for i in (1, 2, 3)}
+    near = {i for i in (1, 2, 3) if any(least[i] == x["key"] and x["n"] > 10 for x in m.signatures(documents(rows).selectExpr("doc_id as id", "text", "xxhash64(text) as th"), P).collect())}
+    assert got == {i: min(near) if i in near else i for i in (1, 2, 3)}
+    kept = m.stage_near_duplicates(documents(rows).sparkSession, documents(rows), "").collect()
+    ids = sorted(r["doc_id"] or -1 for r in kept)
+    assert ids == sorted([-1, *{got[i] for i in got}])
+
+
+def test_pairs_that_share_a_passage_with_all(documents):
+    """Links of few texts among many that share as many sketches."""
+    rng = random.Random(6)
+    passage = ["p%d" % i for i in range(14)]
+    rows = []
+    for i in range(120):
+        words = passage + ["t%d" % rng.randrange(10**6) for _ in range(26)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "more%d" % i]))]
+    assert {r["doc_id"]: r["class_id"] for r in m.classes(documents(rows)).collect()} == all_pairs(rows)
