@@ -5,22 +5,29 @@ spaces are what is searched. Exact phrases are counted at every place where
 their words stand consecutively. A notice of length L is searched with up to
 k = L // 14 character edits: split into k + 1 pieces, at least one piece must
 occur exactly (pigeonhole), so one Aho-Corasick pass over the pieces of all
-notices finds every place that needs a look. There the regex library matches
-the notice with bounded errors, best match first, which verifies the edits and
-gives the span.
+notices finds every place that needs a look. There, in a window of the notice's
+length and its edits, the regex library matches the notice with bounded errors,
+best match first, which verifies the edits and gives the span. Finds of one
+notice are taken in order of edits and place; where a better one overlaps a
+find, its window is searched again on either side of the better one. Windows of
+equal content are matched once, so repeated lines cost one match.
 
 Cases: a null text counts as empty; an empty one has no words, labels or spans
 and score 0; texts are searched whole, however long; overlapping places of a
 phrase all count, and of overlapping fuzzy finds of one notice the one with the
-fewest edits stays, the first at a tie; repeated rows give equal results; an
-empty table gives an empty result; extra columns are ignored.
+fewest edits stays, the first at a tie; finds that touch without overlapping all
+stay; repeated rows give equal results; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +57,8 @@ NOTICES = (
 )
 #: Characters of a notice for each edit allowed.
 PER_EDIT = 14
+#: Windows whose matches are remembered, at most.
+_MEMORY = 20_000
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -81,33 +90,53 @@ class Scanner:
         for seed, places in seeds.items():
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
+        self.memory: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+
+    def _best(self, i: int, joined: str, lo: int, hi: int) -> tuple[int, int, int] | None:
+        """(edits, start, stop) of the best match of notice i in a stretch of the words."""
+        if hi - lo < len(self.notices[i][0]) - self.notices[i][2]:
+            return None
+        content = joined[lo:hi]
+        if (i, content) not in self.memory:
+            if len(self.memory) >= _MEMORY:
+                self.memory.clear()
+            m = self.patterns[i].search(content)
+            self.memory[i, content] = m and (sum(m.fuzzy_counts), m.start(), m.end())
+        found = self.memory[i, content]
+        return found and (found[0], lo + found[1], lo + found[2])
+
+    def _finds(self, i: int, joined: str, windows: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        heap = [(*m, lo, hi) for lo, hi in windows if (m := self._best(i, joined, lo, hi))]
+        heapq.heapify(heap)
+        kept: list[tuple[int, int, int]] = []  # (start, stop, edits), in order
+        while heap:
+            edits, start, stop, lo, hi = heapq.heappop(heap)
+            at = bisect.bisect_left(kept, (stop,))
+            over = at - 1
+            if over < 0 or kept[over][1] <= start:
+                kept.insert(at, (start, stop, edits))
+                continue
+            # The finds are apart and in order, so those that reach into the window are neighbours.
+            while over > 0 and kept[over - 1][1] > lo:
+                over -= 1
+            free = lo
+            for a, b, _ in kept[over:bisect.bisect_left(kept, (hi,))]:
+                if m := self._best(i, joined, free, min(a, hi)):
+                    heapq.heappush(heap, (*m, free, min(a, hi)))
+                free = max(free, b)
+            if m := self._best(i, joined, free, hi):
+                heapq.heappush(heap, (*m, free, hi))
+        return [(i, start, stop, edits) for start, stop, edits in kept]
 
     def fuzzy(self, joined: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, stop, edits) in the joined words; finds of one notice don't overlap."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for last, (size, places) in self.seeds.iter(joined):
             for i, offset in places:
                 text, _, k = self.notices[i]
                 lo = last + 1 - size - offset - k
-                hi = lo + len(text) + 2 * k
-                own = windows.setdefault(i, [])
-                if own and lo <= own[-1][1]:
-                    own[-1] = [min(own[-1][0], lo), max(own[-1][1], hi)]
-                else:
-                    own.append([lo, hi])
-        out = []
-        for i, own in sorted(windows.items()):
-            text, _, k = self.notices[i]
-            finds = []
-            parts = [(max(0, lo), min(len(joined), hi)) for lo, hi in own]
-            while parts:
-                lo, hi = parts.pop()
-                # The best match may stand anywhere; what is before it counts as well as what is behind.
-                if hi - lo >= len(text) - k and (m := self.patterns[i].search(joined, lo, hi)):
-                    finds.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    parts += [(lo, m.start()), (max(m.end(), m.start() + 1), hi)]
-            out += sorted(finds)
-        return out
+                windows.setdefault(i, set()).add((max(0, lo), min(len(joined), lo + len(text) + 2 * k)))
+        return [find for i, own in sorted(windows.items()) for find in self._finds(i, joined, own)]
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int]], list[Found]]:
         """Number of words, the exact phrases with their first words, the fuzzy finds."""
@@ -115,23 +144,28 @@ class Scanner:
         if not words:
             return 0, [], []
         padded = b" " + b" ".join(words) + b" "
-        base = []
+        hits = []
         for phrase in PHRASES:
             needle = b" " + phrase.encode() + b" "
             at = padded.find(needle)
             while at >= 0:
-                base.append((phrase, padded.count(b" ", 0, at)))
+                hits.append((phrase, at))
                 at = padded.find(needle, at + 1)
+        base = []
+        if hits:
+            blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
+            base = list(zip([p for p, _ in hits], np.searchsorted(blanks, [at for _, at in hits]).tolist(), strict=True))
         joined = padded[1:-1].decode("utf-8", "surrogatepass")
         finds = self.fuzzy(joined)
         if not finds:
             return len(words), base, []
         spots = [m.span() for m in WORD.finditer("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))]
+        blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
         found = []
         for i, start, stop, edits in finds:
-            first = joined.count(" ", 0, min(start + (joined[start] == " "), len(joined)))
-            last = max(first, joined.count(" ", 0, stop - (joined[stop - 1] == " ")))
-            found.append(Found(self.notices[i][1], first, last, spots[first][0], spots[last][1], edits, len(self.notices[i][0])))
+            # A find may begin or end with the blank between two words.
+            first, last = np.searchsorted(blanks, (start + (joined[start] == " "), stop - (joined[stop - 1] == " "))).tolist()
+            found.append(Found(self.notices[i][1], first, max(first, last), spots[first][0], spots[max(first, last)][1], edits, len(self.notices[i][0])))
         return len(words), base, found
 
 

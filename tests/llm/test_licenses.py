@@ -70,3 +70,41 @@ def test_edited_lines_before_a_better_one(scanner):
     finds = [f for f in scanner.fuzzy(" ".join([edited] * 5 + [exact] + [edited] * 2)) if f[0] == 0]
     assert [f[3] for f in finds] == [1] * 5 + [0] + [1] * 2
     assert all(a[2] <= b[1] for a, b in zip(finds, finds[1:]))
+
+
+def edited(rng, notice, edits):
+    """The notice with letters replaced, at places apart."""
+    t = list(notice)
+    for at in rng.sample([i for i in range(2, len(t) - 2) if t[i] != " "], edits):
+        t[at] = "q"
+    return "".join(t)
+
+
+def test_adjacent_notices_in_any_order(scanner):
+    import random
+
+    rng = random.Random(2)
+    for i, (notice, _, k) in enumerate(scanner.notices):
+        for gap in (" ", " and "):
+            edits = [rng.randrange(k + 1) for _ in range(12)]
+            finds = [f for f in scanner.fuzzy(gap.join(edited(rng, notice, e) for e in edits)) if f[0] == i]
+            assert len(finds) == len(edits) and all(f[3] <= e for f, e in zip(finds, edits)), (notice, edits, finds)
+            assert all(a[2] <= b[1] for a, b in zip(finds, finds[1:]))
+
+
+def test_two_copies_of_which_one_is_edited(scanner):
+    for a, b in (("licensd under the mit license", "licensed under the mit license"), (li.NOTICES[2][0].replace("hereby", "herebi"), li.NOTICES[2][0])):
+        for text in (f"{a} {b}", f"{b} {a}"):
+            spans = [f for f in scanner.scan(text)[2] if f.label == "mit" and f.size == len(b)]
+            assert sorted(f.edits for f in spans) == [0, 1]
+
+
+def test_many_hits_take_linear_time():
+    import time
+
+    for line in ("mit license ", "licensed under the mit license "):
+        scanner = li.Scanner()
+        start = time.perf_counter()
+        n, base, found = scanner.scan(line * 80_000)
+        assert len(base) == 80_000 and base[-1][1] == n - 2
+        assert (time.perf_counter() - start) < (1.5 if line.startswith("mit") else 12)
