@@ -57,11 +57,32 @@ def test_random_orders_are_topological(spark):
     assert all(at[d] < at[c[1]] for c in calls for d in c[5])
 
 
-def test_cycle(spark, monkeypatch):
-    monkeypatch.setattr(t, "MOST_BACK", 3)
-    got = run(spark, [call("a", 1, deps=["b"]), call("b", 2, deps=["a"]), call("c", 3)], [])
-    assert "cyclic dependency" in got[[r["call_id"] for r in got].index("a")]["errors"] + got[[r["call_id"] for r in got].index("b")]["errors"]
-    assert "cyclic" not in next(r["errors"] for r in got if r["call_id"] == "c")
+def test_cycle(spark):
+    calls = [call("a", 1, deps=["b"]), call("b", 2, deps=["a"]), call("c", 3), call("d", 4, deps=["c", "a"]), call("e", 0, deps=["e"]), call("f", 1, deps=["g"]), call("g", 7, deps=["c"]), call("a", 1, conv=2), call("b", 1, deps=["a"], conv=2)]
+    got = run(spark, calls, [])
+    assert {(r["conv_id"], r["call_id"]) for r in got if "cyclic dependency" in r["errors"]} == {(1, x) for x in "abde"}
+    order = [r["call_id"] for r in got if r["conv_id"] == 1]
+    assert order.index("c") < order.index("g") < order.index("f")
+
+
+def test_long_chain_of_later_calls(spark):
+    n = 150
+    calls = [call(f"k{i}", i, deps=[f"k{i + 1}"] if i < n - 1 else []) for i in range(n)] + [call("z", 3, conv=2)]
+    got = [r for r in run(spark, calls, []) if r["conv_id"] == 1]
+    assert [r["call_id"] for r in got] == [f"k{i}" for i in reversed(range(n))] and not any("cyclic" in r["errors"] for r in got)
+
+
+def test_canonical_json(spark):
+    cases = {
+        "1e2": "100", "100.0": "100", "-0.0": "0", "-1.50": "-1.5", "1.0E22": "1e+22", "0.00001": "0.00001", "1.25e-9": "1.25e-9", "123456789012": "123456789012",
+        '{"b": [1.0, "2.50 \\" 1e5 \\\\"], "a": 1e1}': '{"a":10,"b":[1,"2.50 \\" 1e5 \\\\"]}',
+    }
+    got = run(spark, [call(f"k{i}", i, '{"q": "1.50", "x": %s}' % v) for i, v in enumerate(cases)], [])
+    assert [r["json"].split('"x":')[1].split(',"call_id"')[0][:-1] for r in got] == list(cases.values())
+    for r, v in zip(got, cases):
+        assert json.loads(r["json"])["arguments"] == {"q": "1.50", "x": json.loads(v)}
+    (a, b) = run(spark, [call("a", 1, '{"q": 1, "n": 2, "q": 3}'), call("b", 2, '{"q": {"u": 1, "u": 2}}')], [(1, "a", 2, ""), (1, "b", 3, "")])
+    assert (a["errors"], b["errors"]) == ("repeated q", "repeated keys within")
 
 
 def test_odd_rows(spark):
