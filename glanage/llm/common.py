@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,16 +22,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; a temporary
-    folder is made only where that is unset, as in tests in local mode.
+    Only in local mode, as in tests, may it be unset: then a temporary folder is made. On a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='glanage-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    state = process_cache()
+    if "local" not in state:
+        state["local"] = f"file://{tempfile.mkdtemp(prefix='glanage-')}"
+    return state["local"]
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; ``clean`` deletes it, at the latest when the driver's Python ends."""
+    state, path = process_cache(), f"{shared_dir(spark)}/glanage-{spark.sparkContext.applicationId}"
+    if path not in state.setdefault("scratch", {}):
+        state["scratch"][path] = spark
+        atexit.register(clean, spark)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables and archives that this application has saved; results that aren't consumed yet can't be read afterwards."""
+    for path in [p for p, s in process_cache().get("scratch", {}).items() if s is spark]:
+        try:
+            _delete(spark, path)
+        except Exception:  # the application has ended already: the folder is left to whoever keeps the shared one
+            pass
+        process_cache()["scratch"].pop(path, None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -38,7 +68,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage like a reliable checkpoint (the files outlive lost
     executors), but stays columnar and keeps its size known to the optimizer.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_path = path
@@ -48,9 +78,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Delete saved tables that nothing will read again."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(df.saved_path)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, df.saved_path)
+
+
+#: Hex digits of a digest that address a bit: 24 bits, so a bitmap has 2 MB, whatever it is made from.
+HEX = 6
+
+
+def bitmap(digests: DataFrame) -> bytes:
+    """A bit for the first digits of every hex digest in the column d; at most 2 ** 18 words come to the driver."""
+    at = F.conv(F.substring("d", 1, HEX), 16, 10).cast("long")
+    words = digests.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(conv(substring(d, 1, {HEX}), 16, 10) % 64 as int))").alias("b"))
+    bits = np.zeros(16**HEX // 64, np.int64)
+    for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        bits[w] = b
+    return bits.astype("<i8").tobytes()
+
+
+def marked(bits: bytes, digest: str) -> bool:
+    """Whether the bitmap has the bit of a hex digest."""
+    at = int(digest[:HEX], 16)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -113,15 +161,26 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return lean_run
 
 
-#: Rows that go to a Python worker at a time, at most: bounds its memory where texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to a Python worker at a time, at most: they bound its memory where texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to these bounds where they are higher.
+
+    Spark has no way to say this for one query, so it holds for the session. A
+    session that sets lower limits keeps them. One row larger than the bound
+    still makes a batch of its own.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).lower()
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType, arrow: bool = False) -> DataFrame:
     """mapInPandas (or mapInArrow) in small batches, without memory left behind."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(lean(run), schema) if arrow else df.mapInPandas(lean(run), schema)
 
 

@@ -16,8 +16,9 @@ have a row per known language at most and are collected; host counts are
 summed before they are shuffled and joined back by host.
 
 The text model is fitted on a bounded sample of labelled documents
-(``rows_per_lang`` of each language, lowest hash first); everything else covers
-all pages.
+(``rows_per_lang`` of each language, lowest hash first; of a language that has
+only long documents some of the shortest); everything else covers all pages.
+Every label that occurs is a language; more than ``languages`` are an error.
 
 Cases: a null or empty html, or one without letters, is decided by the other
 evidence; a null or odd url has an empty host, shared with all such pages;
@@ -48,10 +49,12 @@ class LanguageParams:
     buckets: int = 1 << 15
     #: Bound of the training sample.
     rows_per_lang: int = 400
-    #: Bound of the languages told apart: the most frequent ones.
-    languages: int = 64
-    #: Labelled documents with more characters are not sampled (bounds the driver's memory).
+    #: More labels than this are no languages: an error, not a cut.
+    languages: int = 500
+    #: Labelled documents with more characters are not sampled (bounds the driver's memory) ...
     train_chars: int = 20_000
+    #: ... unless a language has no others: then so many of its shortest are.
+    rows_if_long: int = 20
     smoothing: float = 0.2
     #: N-grams that a text counts as, at most: neighbours are far from independent.
     evidence: float = 60.0
@@ -101,16 +104,27 @@ def address(url: str | None) -> tuple[str, str, str | None]:
 def fit_text(docs: DataFrame, params: LanguageParams) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log-probability of each bucket under each."""
     rows = pick(docs, id="doc_id", text="text", lang="lang").where("lang is not null and id is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.languages).collect()
+    size = F.coalesce(F.length("text"), F.lit(0))
+    short = size <= params.train_chars
+    counts = rows.groupBy("lang").agg(F.count_if(short).alias("count")).limit(params.languages + 1).collect()
+    if len(counts) > params.languages:
+        raise ValueError(f"documents have more than {params.languages} languages")
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return [], np.zeros((0, params.buckets), np.float32)
-    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= params.train_chars).select("id", "lang", place(params.seed, "id").alias("o"))
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], 2 * params.rows_per_lang / r["count"])))
-    early = short.where(F.col("lang").isin(langs)).where(F.col("o") < F.element_at(share, F.col("lang")))
+    placed = rows.where(short).select("id", "lang", place(params.seed, "id").alias("o"))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], 2 * params.rows_per_lang / max(1, r["count"]))))
+    early = placed.where(F.col("o") < F.element_at(share, F.col("lang")))
     order = Window.partitionBy("lang").orderBy("o", "id")
-    chosen = early.withColumn("r", F.row_number().over(order)).where(F.col("r") <= params.rows_per_lang).select("id").distinct()
-    sample = rows.join(F.broadcast(chosen), "id").select("lang", "text").toPandas()  # languages x rows_per_lang ids: bounded
+    chosen = early.withColumn("r", F.row_number().over(order)).where(F.col("r") <= params.rows_per_lang).select("id")
+    wordy = [r["lang"] for r in counts if not r["count"]]
+    if wordy:
+        order = Window.partitionBy("lang").orderBy("o", "id")
+        shortest = rows.where(F.col("lang").isin(wordy)).select("id", "lang", size.alias("o"))
+        chosen = chosen.unionByName(shortest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= params.rows_if_long).select("id"))
+    chosen = chosen.distinct()
+    # languages x rows_per_lang ids, each with its least row: bounded
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("v")).select("v.*").toPandas()
     table = np.full((len(langs), params.buckets), params.smoothing)
     for lang, text in zip(sample["lang"], sample["text"], strict=True):
         if lang in langs:
@@ -186,7 +200,8 @@ def identify(pages: DataFrame, docs: DataFrame, params: LanguageParams = Languag
     total = domains.agg(_sums("d", n).alias("a"), F.sum("n_d").alias("n_a")).first()
     everywhere = F.array(*(F.lit((x + 1) / ((total["n_a"] or 0) + n)) for x in (total["a"] if total["n_a"] else [0.0] * n)))
     domains = domains.select("domain", F.zip_with("d", everywhere, lambda c, q: (c + params.domain * q) / (F.col("n_d") + params.domain)).alias("q"))
-    hosts = hosts.join(domains, "domain").select("host", "domain", "h", "n_h", "q")
+    # Kept apart, so that Spark can split the rows of a large host in the join.
+    hosts = saved(hosts.join(domains, "domain").select("host", "domain", "h", "n_h", "q"), "hosts")
     joined = fused.join(hosts, ["host", "domain"])
     others = F.zip_with("h", "p", lambda c, own: F.greatest(c - own, F.lit(0.0)))
     prior = F.zip_with(others, "q", lambda c, q: F.log((c + params.host * q) / (F.col("n_h") - 1 + params.host)))

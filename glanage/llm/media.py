@@ -4,8 +4,9 @@ A payload is cut where a rolling gear hash of its last 64 bytes has zero top
 bits, so equal stretches are cut alike wherever they stand. Spark joins choose
 one owner for each chunk digest; the store holds a chunk only with its owner,
 and a payload is stored as its manifest, the ordered list of chunk digests and
-lengths. Reading back fetches borrowed chunks from their owners by digest,
-puts the chunks in order and verifies every digest and that of the payload.
+lengths. Reading back takes the stored manifest, fetches borrowed chunks from
+their owners by digest, puts the chunks in order and verifies every digest and
+that of the payload. The stored form that results describe is the manifest.
 
 Digests and lengths decide everything before a payload moves. Payloads that
 occur once and share no chunk, by far the most, are written where they are
@@ -18,8 +19,10 @@ joins only, whose large partitions Spark splits.
 
 Cases: a null text is an empty payload; payloads are zero-padded to a positive
 multiple of 64 bytes; long texts are chunked whole; repeated rows (equal ids or
-texts) each get their row; null ids stay null; an empty table gives an empty
-result; extra columns are ignored.
+texts) each get their row; null ids stay null and count as the least; of the
+chunks with one digest, the one at the first place of the payload of least
+digest is the owner; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glanage.llm.common import mapped, saved
+from glanage.llm.common import HEX, bitmap, mapped, marked, saved
 
 UNIT = 64
 _WINDOW = 64
@@ -97,17 +100,26 @@ def manifest(digests: list[bytes], lengths: list[int]) -> bytes:
     return struct.pack(">4sI", b"CDC1", len(digests)) + b"".join(d + struct.pack(">I", n) for d, n in zip(digests, lengths, strict=True))
 
 
+def entries(stored: bytes) -> list[tuple[bytes, int]]:
+    """Digest and length of each chunk of a stored manifest."""
+    magic, n = struct.unpack_from(">4sI", stored)
+    if magic != b"CDC1" or len(stored) != 8 + 36 * n:
+        raise ValueError("damaged manifest")
+    return list(struct.iter_unpack(">32sI", stored[8:]))
+
+
+def _digest_at(at: Column) -> Column:
+    """The digest of chunk ``at`` in the column manifest."""
+    return F.substring("manifest", F.lit(9) + 36 * at, F.lit(32))
+
+
 def feature(samples: bytes, n_chunks: int) -> str:
     """Mean, deviation, sign changes around the middle and entropy of the 8-bit samples."""
     x = np.frombuffer(samples, np.uint8)
     p = np.bincount(x, minlength=256) / len(x)
     p = p[p > 0]
     changes = int((np.diff((x >= 128).astype(np.int8)) != 0).sum())
-    return f"chunks={n_chunks};mean={x.mean():.4f};std={x.std():.4f};changes={changes};entropy={float(-(p * np.log2(p)).sum()):.4f}"
-
-
-#: Hex digits of a payload digest that address a bit: 24 bits, so the bitmap has 2 MB.
-_HEX = 6
+    return f"chunks={n_chunks};mean={x.mean():.4f};std={x.std():.4f};changes={changes};entropy={float(-(p * np.log2(p)).sum()) + 0.0:.4f}"
 
 
 def _described(docs: DataFrame, params: ChunkParams) -> DataFrame:
@@ -124,8 +136,8 @@ def _described(docs: DataFrame, params: ChunkParams) -> DataFrame:
     return mapped(docs, run, "doc_id long, n_bytes long, sha string, digests array<binary>")
 
 
-def _full(docs: DataFrame, bitmap: bytes, special: bool, params: ChunkParams) -> DataFrame:
-    """doc_id, sha, digests, lengths and blobs (compressed chunks) of the rows that the bitmap calls special, or of the others."""
+def _full(docs: DataFrame, special: bytes, holders: bytes, moving: bool, params: ChunkParams) -> DataFrame:
+    """doc_id, sha, manifest and blobs (compressed chunks): of ``moving``, those that the bitmaps call special and holders, else those that aren't special."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -133,51 +145,49 @@ def _full(docs: DataFrame, bitmap: bytes, special: bool, params: ChunkParams) ->
             for key, text in zip(b["doc_id"], b["text"], strict=True):
                 data = payload(text)[1]
                 sha = hashlib.sha256(data).hexdigest()
-                bit = int(sha[:_HEX], 16)
-                if bool(bitmap[bit >> 3] >> (bit & 7) & 1) == special:
-                    parts = chunked(data, params)
-                    rows.append((key, sha, [hashlib.sha256(p).digest() for p in parts], [len(p) for p in parts], [zlib.compress(p, 3) for p in parts]))
-            yield pd.DataFrame(rows, columns=["doc_id", "sha", "digests", "lengths", "blobs"]).astype({"doc_id": "Int64"})
+                if marked(special, sha) != moving or (moving and not marked(holders, _held(sha, key))):
+                    continue
+                parts = chunked(data, params)
+                rows.append((key, sha, manifest([hashlib.sha256(p).digest() for p in parts], [len(p) for p in parts]), [zlib.compress(p, 3) for p in parts]))
+            yield pd.DataFrame(rows, columns=["doc_id", "sha", "manifest", "blobs"]).astype({"doc_id": "Int64"})
 
-    return mapped(docs, run, "doc_id long, sha string, digests array<binary>, lengths array<int>, blobs array<binary>")
+    return mapped(docs, run, "doc_id long, sha string, manifest binary, blobs array<binary>")
 
 
-def _bitmap(special: DataFrame) -> bytes:
-    """A bit for the first hex digits of every sha; at most 2 ** 18 words come to the driver."""
-    at = F.conv(F.substring("sha", 1, _HEX), 16, 10).cast("long")
-    words = special.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(conv(substring(sha, 1, 6), 16, 10) % 64 as int))").alias("b"))
-    bits = np.zeros(16**_HEX // 64, np.int64)
-    for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        bits[w] = b
-    return bits.astype("<i8").tobytes()
+def _held(sha: str, key: int | None) -> str:
+    return hashlib.sha256(f"{sha}:{-1 if pd.isna(key) else int(key)}".encode()).hexdigest()
 
 
 def write_store(docs: DataFrame, params: ChunkParams = ChunkParams()) -> tuple[DataFrame, DataFrame]:
     """(rows, store): the payload of each row of ``docs`` by digest, and one stored row per distinct payload.
 
-    store has sha, digests, lengths, blobs (null where borrowed), borrowed and lent (positions in digests).
+    store has sha, manifest, blobs (null where borrowed), borrowed and lent (places in the manifest).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(_described(docs, params), "payloads")
     holder = F.coalesce("doc_id", F.lit(-1))
     distinct = rows.groupBy("sha").agg(F.first("digests").alias("digests"), F.min(holder).alias("holder"), F.count("*").alias("copies"))
-    chunks = distinct.select("sha", F.posexplode("digests").alias("at", "digest")).withColumn("digest", F.substring("digest", 1, 16))
-    owners = chunks.groupBy("digest").agg(F.min(F.struct("sha", "at")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+    chunks = distinct.select("sha", F.posexplode("digests").alias("at", "digest"))
+    # What is joined by a key of many rows is kept apart, so that Spark can split these rows.
+    owners = saved(chunks.groupBy("digest").agg(F.min(F.struct("sha", "at")).alias("owner"), F.count("*").alias("n")).where("n > 1"), "owners")
     shared = chunks.join(owners.hint("merge"), "digest").withColumn("own", (F.col("owner.sha") == F.col("sha")) & (F.col("owner.at") == F.col("at")))
     roles = shared.groupBy("sha").agg(
         F.collect_list(F.when(~F.col("own"), F.col("at"))).alias("borrowed"), F.collect_list(F.when(F.col("own"), F.col("at"))).alias("lent")
     )
     special = distinct.select("sha", "holder", "copies").join(roles.hint("merge"), "sha", "left").where("copies > 1 or borrowed is not null")
     special = saved(special, "special")
-    bitmap = _bitmap(special)
+    # Payloads that only look special move as well, so their holders are in the second bitmap too.
+    first = F.substring("sha", 1, HEX)
+    alike = rows.select("sha", holder.alias("h")).join(special.select(first.alias("first")).distinct().hint("merge"), first == F.col("first"), "left_semi")
+    held = F.sha2(F.concat("sha", F.lit(":"), F.col("h").cast("string")), 256)
+    bits, holders = bitmap(special.select(F.col("sha").alias("d"))), bitmap(alike.groupBy("sha").agg(F.min("h").alias("h")).select(held.alias("d")))
     none = F.array().cast("array<int>")
-    columns = ["sha", "digests", "lengths", "blobs", "borrowed", "lent"]
-    plain = _full(docs, bitmap, False, params).withColumn("borrowed", none).withColumn("lent", none).select(columns)
-    met = _full(docs, bitmap, True, params).join(special.hint("merge"), "sha", "left").where(F.col("holder").isNull() | (holder == F.col("holder")))
+    columns = ["sha", "manifest", "blobs", "borrowed", "lent"]
+    plain = _full(docs, bits, holders, False, params).withColumn("borrowed", none).withColumn("lent", none).select(columns)
+    met = _full(docs, bits, holders, True, params).join(special.hint("merge"), "sha", "left").where(F.col("holder").isNull() | (holder == F.col("holder")))
     met = met.select(
         "sha",
-        "digests",
-        "lengths",
+        "manifest",
         F.transform("blobs", lambda x, i: F.when(~F.array_contains(F.coalesce("borrowed", none), i), x)).alias("blobs"),
         F.coalesce("borrowed", none).alias("borrowed"),
         F.coalesce("lent", none).alias("lent"),
@@ -187,31 +197,32 @@ def write_store(docs: DataFrame, params: ChunkParams = ChunkParams()) -> tuple[D
 
 def read_store(store: DataFrame) -> DataFrame:
     """sha, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each stored payload, from the stored bytes."""
-    lent = store.where(F.size("lent") > 0).select("digests", "blobs", F.explode("lent").alias("at"))
-    lent = lent.select(F.element_at("digests", F.col("at") + 1).alias("digest"), F.element_at("blobs", F.col("at") + 1).alias("blob"))
-    lent = lent.groupBy("digest").agg(F.first("blob").alias("blob"))
-    wanted = store.where(F.size("borrowed") > 0).select("sha", "digests", F.explode("borrowed").alias("at"))
-    wanted = wanted.select("sha", "at", F.element_at("digests", F.col("at") + 1).alias("digest"))
-    fetched = wanted.distinct().join(lent.hint("merge"), "digest").groupBy("sha").agg(F.collect_list(F.struct("at", "blob")).alias("fetched"))
+    lent = store.where(F.size("lent") > 0).select("manifest", "blobs", F.explode("lent").alias("at"))
+    lent = lent.select(_digest_at(F.col("at")).alias("digest"), F.element_at("blobs", F.col("at") + 1).alias("blob"))
+    lent = saved(lent.groupBy("digest").agg(F.first("blob").alias("blob")), "lent")
+    wanted = store.where(F.size("borrowed") > 0).select("sha", "manifest", F.explode("borrowed").alias("at"))
+    wanted = wanted.select("sha", "at", _digest_at(F.col("at")).alias("digest"))
+    fetched = wanted.join(lent.hint("merge"), "digest").groupBy("sha").agg(F.collect_set(F.struct("at", "blob")).alias("fetched"))
     whole = store.where(F.size("borrowed") == 0).withColumn("fetched", F.lit(None).cast(fetched.schema["fetched"].dataType))
     joined = store.where(F.size("borrowed") > 0).join(fetched.hint("merge"), "sha")
-    columns = ["sha", "digests", "lengths", "blobs", "fetched"]
+    columns = ["sha", "manifest", "blobs", "fetched"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for sha, digests, lengths, blobs, more in zip(*(b[c] for c in columns), strict=True):
+            for sha, stored, blobs, more in zip(*(b[c] for c in columns), strict=True):
+                stored = bytes(stored)
+                chunks = entries(stored)
                 parts = dict(enumerate(blobs)) | {x["at"]: x["blob"] for x in (more if more is not None else ())}
-                data = [zlib.decompress(parts[i]) for i in range(len(digests))]
-                for x, d, n in zip(data, digests, lengths, strict=True):
-                    if hashlib.sha256(x).digest() != bytes(d) or len(x) != n:
+                data = [zlib.decompress(parts[i]) for i in range(len(chunks))]
+                for x, (d, n) in zip(data, chunks, strict=True):
+                    if hashlib.sha256(x).digest() != d or len(x) != n:
                         raise ValueError(f"a chunk of {sha} is damaged")
                 samples = b"".join(data)
                 got = hashlib.sha256(samples).hexdigest()
                 if got != sha:
                     raise ValueError(f"payload {sha} came back as {got}")
-                media = manifest([bytes(d) for d in digests], [int(n) for n in lengths])
-                rows.append((sha, len(samples), got, zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples, len(data))))
+                rows.append((sha, len(samples), got, zlib.crc32(samples[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples, len(data))))
             yield pd.DataFrame(rows, columns=["sha", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "sha string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -221,7 +232,7 @@ def read_store(store: DataFrame) -> DataFrame:
 def media(docs: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
     """Stores every text as chunks, reads it back, and describes what was read, one row per row of ``docs``."""
     rows, store = write_store(docs, params)
-    found = read_store(store).dropDuplicates(["sha"])
+    found = saved(read_store(store).dropDuplicates(["sha"]), "found")
     return rows.select("doc_id", "n_bytes", "sha").join(found.hint("merge"), "sha").drop("sha")
 
 

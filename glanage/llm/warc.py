@@ -11,16 +11,23 @@ resource. Of the responses with equal payloads, the one of least page id stays
 a response and the others become revisits that refer to it.
 
 Archives are written by Spark's own writers and read by its binary file source,
-one file per task, so they can live in any store; a file holds at most what its
-task reads. Who is a revisit is decided on digests alone; payloads are moved
-once, to meet that decision.
+so they can live in any store. A file is rolled over when it reaches ``ROLL``
+bytes before compression, so what a task holds of one doesn't grow with its
+input. Who is a revisit is decided on digests alone. The records that aren't
+revisits, by far the most, are written where they are read; a bitmap of fixed
+size tells them from those that may be. Only the latter move, to meet what was
+decided about them. (A full bitmap would just send all of them that way.)
+
+What can't be read is reported and not passed over in silence: a damaged gzip
+member, a header line that doesn't parse, a length that runs past the end each
+give a row of ``conversion_errors``; reading goes on at the next gzip member, or
+at the next line that is a header whose record fits.
 
 Cases: a null or empty html is an empty payload; a null url is written as
 ``unknown:``, blanks in a url are percent-encoded; a null page_id stays null and
 comes last in the order; equal rows each get their record, the first in file
-order being the response; a header line that doesn't parse or a length that
-runs past the end of its file ends that file with a row whose error says so;
-an empty table gives archives without records and an empty result; extra
+order being the response; blanks within a content type belong to it; a file
+without a version block can't be read at all; an empty table gives archives without records and an empty result; extra
 columns are ignored.
 """
 
@@ -32,14 +39,14 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glanage.llm.common import mapped, shared_dir
+from glanage.llm.common import bitmap, mapped, marked, saved, scratch
 
 #: The header fields of each version, as fixed values.
 ARC_FIELDS = {
@@ -49,24 +56,37 @@ ARC_FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _EPOCH = datetime.datetime(2000, 1, 1)
 _ID = re.compile(rb"(?i)\r?\nX-Page-Id: (-?[0-9]+)")
-#: Bytes of archive text handed to Spark's writer at a time.
+#: Bytes of rows that workers hand back at a time.
 _BATCH = 4_000_000
+#: Uncompressed bytes from which on an archive is closed and the next one begun.
+ROLL = 16_000_000
 
 
 def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def unpacked(data: bytes) -> bytes:
-    """The content of a file of one or more gzip members, or the file as it is."""
+def unpacked(data: bytes) -> tuple[bytes, list[int]]:
+    """The content of a file of one or more gzip members (or the file as it is), and where in it members are damaged."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        one = zlib.decompressobj(31)
-        out += [one.decompress(data), one.flush()]
-        data = one.unused_data
-    return b"".join(out)
+        return data, []
+    out, size, bad, at, step = [], 0, [], 0, 1 << 16
+    while 0 <= at < len(data) and data[at : at + 2] == b"\x1f\x8b":
+        one, start = zlib.decompressobj(31), at
+        try:
+            while not one.eof and at < len(data):
+                part = one.decompress(data[at : at + step])
+                at += min(step, len(data) - at)
+                out.append(part)
+                size += len(part)
+            at -= len(one.unused_data)
+            whole = one.eof
+        except zlib.error:
+            whole = False
+        if not whole:
+            bad.append(size)
+            at = data.find(b"\x1f\x8b\x08", start + 1)
+    return b"".join(out), bad
 
 
 # --- ARC ---------------------------------------------------------------------------------------------------------
@@ -91,31 +111,43 @@ def arc_record(version: int, page_id: int | None, url: str | None, html: str | N
     return arc_header(version, clean, "0.0.0.0", f"{date:%Y%m%d%H%M%S}", "text/html", len(block)).encode("utf-8", "surrogatepass") + b"\n" + block
 
 
+def _header(line: bytes, fields: list[str]) -> list[str] | None:
+    """The fields of a header line; blanks too many belong to the content type."""
+    parts = line.rstrip(b"\r").decode("utf-8", "replace").split(" ")
+    if len(parts) > len(fields):
+        rest = len(fields) - 4
+        parts = [*parts[:3], " ".join(parts[3 : len(parts) - rest]), *parts[len(parts) - rest :]]
+    return parts if len(parts) == len(fields) and parts[-1].isdigit() and parts[2].isdigit() else None
+
+
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file: offset, the header fields by name, block, and error where one ends the file."""
-    at, fields = 0, None
+    """The records of an ARC file: offset, the header fields by name, block, and error where one can't be read."""
+    at, fields, lost = 0, None, False
     while at < len(data):
         if data[at : at + 1] == b"\n":  # between records
             at += 1
             continue
         eol = data.find(b"\n", at)
-        parts = data[at : eol if eol >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "replace").split(" ")
+        line = data[at : eol if eol >= 0 else len(data)]
         if fields is None:
             second = data[eol + 1 : data.find(b"\n", eol + 1)].split(b" ") if eol >= 0 else [b""]
-            version = int(second[0]) if second[0] in (b"1", b"2") and parts[0].startswith("filedesc:") else None
+            version = int(second[0]) if second[0] in (b"1", b"2") and line.startswith(b"filedesc:") else None
             if version is None:
                 yield {"offset": at, "error": "no version block"}
                 return
             fields = ARC_FIELDS[version]
-            if len(parts) == len(ARC_FIELDS[1]):  # version blocks of either version may have the short header
-                parts = parts[:4] + ["-"] * (len(fields) - 5) + parts[4:]
-        if eol < 0 or len(parts) != len(fields) or not parts[-1].isdigit():
-            yield {"offset": at, "error": "bad header line"}
-            return
-        stop = eol + 1 + int(parts[-1])
-        if stop > len(data):
-            yield {"offset": at, "error": "declared length runs past the end"}
-            return
+            parts = _header(line, fields)
+            if parts is None and (short := _header(line, ARC_FIELDS[1])):  # version blocks of either version may have the short header
+                parts = short[:4] + ["-"] * (len(fields) - 5) + short[4:]
+        else:
+            parts = _header(line, fields)
+        stop = eol + 1 + int(parts[-1]) if parts else 0
+        if eol < 0 or parts is None or stop > len(data):
+            if not lost:
+                yield {"offset": at, "error": "declared length runs past the end" if parts and eol >= 0 else "bad header line"}
+            lost, at = True, eol + 1 if eol >= 0 else len(data)
+            continue
+        lost = False
         yield {"offset": at, "error": None, "block": data[eol + 1 : stop]} | dict(zip(fields, parts, strict=True))
         at = stop
 
@@ -190,12 +222,27 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _write_lines(records: DataFrame, path: str, end: str, level: str) -> str:
-    """One binary column as gzip files of lines; the bytes go through unchanged."""
+    """One binary column as gzip files, one for each row; the bytes go through unchanged."""
     lines = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", end)
-    lines.option("compression", "gzip").option("zlib.compress.level", level).text(path)
+    lines.option("compression", "gzip").option("zlib.compress.level", level).option("maxRecordsPerFile", 1).text(path)
     return path
 
 
+def _rolled(records: Iterator[bytes], end: bytes, head: Callable[[int], bytes] | None = None) -> Iterator[pd.DataFrame]:
+    """Archives of at least ROLL bytes (but the last), each one value of the column record; ``head`` begins the nth."""
+    held, size, n = [], 0, 0
+    for record in records:
+        if not held and head:
+            held.append(head(n))
+        held.append(record)
+        size += len(record)
+        if size >= ROLL:
+            yield pd.DataFrame({"record": [end.join(held)]})
+            held, size, n = [], 0, n + 1
+    if held:
+        yield pd.DataFrame({"record": [end.join(held)]})
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
 
@@ -215,20 +262,19 @@ def _batched(rows: Iterator[tuple], names: list[str], sized: str) -> Iterator[pd
 
 
 def write_arc(pages: DataFrame, path: str) -> str:
-    """Pages as ARC files, one per task, of version 1 and 2 by turns."""
+    """Pages as ARC files of version 1 and 2 by turns."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         version = 1 + part % 2
-        started = False
-        for b in batches:
-            ids = [None if pd.isna(x) else int(x) for x in b["page_id"]]
-            records = (arc_record(version, i, u, h) for i, u, h in zip(ids, b["url"], b["html"], strict=True))
-            for out in _batched(((x,) for x in records), ["record"], "record"):
-                if not started:
-                    out.loc[0, "record"] = arc_version_block(version, f"part-{part}.arc") + b"\n" + out.loc[0, "record"]
-                    started = True
-                yield out
+
+        def records() -> Iterator[bytes]:
+            for b in batches:
+                ids = [None if pd.isna(x) else int(x) for x in b["page_id"]]
+                for i, u, h in zip(ids, b["url"], b["html"], strict=True):
+                    yield arc_record(version, i, u, h)
+
+        return _rolled(records(), b"\n", lambda n: arc_version_block(version, f"part-{part}-{n}.arc"))
 
     columns = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"])
     return _write_lines(mapped(columns, run, "record binary"), path, "\n", "BEST_SPEED")
@@ -237,49 +283,90 @@ def write_arc(pages: DataFrame, path: str) -> str:
 _DECIDED = "file string, offset long, error string, type string, id string, page_id long, size long, digest string"
 
 
-def read_arc(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
-    """The converted records of the ARC files: what decides about them, or with ``payloads`` also their content."""
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, dict]]:
+    """File and record of all archives, damaged members among them."""
+    for b in batches:
+        for file, content in zip(b["file"], b["content"], strict=True):
+            data, bad = unpacked(content)
+            yield from ((file, {"offset": at, "error": "damaged gzip member"}) for at in bad)
+            yield from ((file, record) for record in parse_arc(data))
+
+
+def _place(file: str, offset: int) -> str:
+    return hashlib.sha256(f"{file}:{offset}".encode()).hexdigest()
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """What decides about each record of the ARC files, and the errors."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for b in batches:
-            for file, content in zip(b["file"], b["content"], strict=True):
-                for record in parse_arc(unpacked(content)):
-                    if record["error"]:
-                        yield (file, record["offset"], record["error"]) + (None,) * 5 + ((None,) * 6 if payloads else ())
-                        continue
-                    r = converted(record)
-                    row = (file, record["offset"], None, r["type"], r["id"], r["page_id"], len(r["payload"]), r["digest"])
-                    yield row + tuple(r[k] for k in ("date", "url", "mime", "ip", "head", "payload")) if payloads else row
+        for file, record in _records(batches):
+            if record["error"]:
+                yield (file, record["offset"], record["error"], None, None, None, None, None)
+            else:
+                r = converted(record)
+                yield (file, record["offset"], None, r["type"], r["id"], r["page_id"], len(r["payload"]), r["digest"])
 
-    schema = _DECIDED + (", date string, url string, mime string, ip string, head binary, payload binary" if payloads else "")
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = [x.split()[0] for x in _DECIDED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in _batched(rows(batches), names, "payload" if payloads else "digest"):
+        for out in _batched(rows(batches), names, "digest"):
             yield out.astype({"offset": "Int64", "page_id": "Int64", "size": "Int64"})
 
-    return mapped(_files(spark, path), run, schema)
+    return mapped(_files(spark, path), run, _DECIDED)
+
+
+def conversion_errors(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset and error of what can't be read in a folder of ARC files."""
+    return read_arc(spark, path).where("error is not null").select("file", "offset", "error")
+
+
+_FULL = "file string, offset long, type string, id string, date string, url string, mime string, ip string, head binary, payload binary, digest string"
 
 
 def convert(spark: SparkSession, arc: str, warc: str, least: int = 0) -> str:
-    """WARC files for the ARC files in a folder; payloads of at least ``least`` bytes are written once."""
-    known = read_arc(spark, arc, payloads=False).where("error is null and type = 'response'").where(F.col("size") >= least)
+    """WARC files for the ARC files in a folder; payloads of at least ``least`` bytes are written once.
+
+    What can't be read is left out here and listed by ``conversion_errors``.
+    """
+    known = read_arc(spark, arc).where("error is null and type = 'response'").where(F.col("size") >= least)
     last = F.coalesce("page_id", F.lit((1 << 63) - 1))
     kept = known.groupBy("digest", "size").agg(F.min(F.struct(last.alias("order"), "file", "offset", "id", "page_id")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    # Kept apart, so that Spark can split the copies of one payload in the join.
+    kept = saved(kept, "kept")
     revisits = (
-        known.select("file", "offset", "digest", "size")
+        saved(known.select("file", "offset", "digest", "size"), "known")
         .join(kept, ["digest", "size"])
         .where((F.col("kept.file") != F.col("file")) | (F.col("kept.offset") != F.col("offset")))
         .select("file", "offset", F.col("kept.id").alias("refers_id"), F.col("kept.page_id").alias("refers_to"))
     )
-    full = read_arc(spark, arc, payloads=True).where("error is null").join(revisits, ["file", "offset"], "left")
+    revisits = saved(revisits, "revisits")
+    bits = bitmap(revisits.select(F.sha2(F.concat("file", F.lit(":"), F.col("offset").cast("string")), 256).alias("d")))
+    names = [x.split()[0] for x in _FULL.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            records = (warc_record(r, r["refers_id"] if isinstance(r["refers_id"], str) else None, None if pd.isna(r["refers_to"]) else int(r["refers_to"])) for r in b.to_dict("records"))
-            yield from _batched(((x,) for x in records), ["record"], "record")
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _rolled((warc_record(converted(r), None, None) for file, r in _records(batches) if not r["error"] and not marked(bits, _place(file, r["offset"]))), b"\r\n")
+
+    def moving(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            for file, record in _records(batches):
+                if not record["error"] and marked(bits, _place(file, record["offset"])):
+                    r = converted(record)
+                    yield (file, record["offset"], *(r[k] for k in names[2:]))
+
+        for out in _batched(rows(), names, "payload"):
+            yield out.astype({"offset": "Int64"})
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        records = (
+            warc_record(r, r["refers_id"] if isinstance(r["refers_id"], str) else None, None if pd.isna(r["refers_to"]) else int(r["refers_to"]))
+            for b in batches for r in b.to_dict("records")
+        )
+        return _rolled(records, b"\r\n")
 
-    return _write_lines(mapped(full, run, "record binary"), warc, "\r\n", "THREE")
+    moved = mapped(_files(spark, arc), moving, _FULL).join(revisits, ["file", "offset"], "left")
+    archives = mapped(_files(spark, arc), plain, "record binary").unionByName(mapped(moved, met, "record binary"))
+    return _write_lines(archives, warc, "\r\n", "THREE")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -291,7 +378,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
             for content in b["content"]:
-                for h, block in parse_warc(unpacked(content)):
+                data, bad = unpacked(content)
+                if bad:
+                    raise ValueError("damaged archive")
+                for h, block in parse_warc(data):
                     kind = h["warc-type"]
                     if kind not in ("response", "revisit"):
                         continue
@@ -319,6 +409,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through ARC files, the converter and WARC files, as read back from these."""
-    folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/archives-{uuid.uuid4().hex}"
     arc = write_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{folder}/arc")
     return read_warc(spark, convert(spark, arc, f"{folder}/warc"))

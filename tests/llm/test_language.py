@@ -98,3 +98,17 @@ def test_visible_and_address():
     assert "kala" not in la.visible('<script>kala</script>a<!-- b -->&eacute;') and "é" in la.visible("&eacute;")
     assert la.address("https://www.site.fr/a") == ("www.site.fr", "site.fr", "fr")
     assert la.address("http://x.com/de/1")[2] == "de" and la.address("http://x.com/page")[2] is None and la.address(None) == ("", "", None)
+
+
+def test_all_labels_are_languages(spark):
+    """More labels than any fixed few, one of them only on long texts; a tie goes to the first in order."""
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i:02d}") for i in range(80)] + [(900, "longa " * 5000, "long"), (901, None, "long2"), (901, "zzz", "long2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = la.fit_text(docs, la.LanguageParams())
+    assert langs == [f"l{i:02d}" for i in range(80)] + ["long", "long2"]
+    assert la.text_evidence("longa longa longa", table, la.LanguageParams()).argmax() == 80
+    two = spark.createDataFrame([(1, "same", "b"), (2, "same", "a")], "doc_id long, text string, lang string")
+    (got,) = la.identify(spark.createDataFrame([(1, "u", "same")], PAGES), two).collect()
+    assert got["lang"] == "a"
+    with pytest.raises(ValueError, match="more than 5"):
+        la.fit_text(docs, la.LanguageParams(languages=5))

@@ -71,4 +71,44 @@ def test_damaged_archives():
     assert [r["error"] for r in w.parse_arc(b"rubbish\n")] == ["no version block"]
     assert [r["error"] for r in w.parse_arc(good + b"http://x 0 1 t 999\nshort")][-1] == "declared length runs past the end"
     assert [r["error"] for r in w.parse_arc(good + b"one two\n")][-1] == "bad header line"
+    rec = w.arc_record(1, 5, "http://h", "text")
+    cut = good + rec + b"\nrubbish line\nmore of it\n" + w.arc_record(1, 6, "http://i", "other") + b"\nhttp://j 0 1 text/html; charset=x 3\nabc\n"
+    got = list(w.parse_arc(cut))
+    assert [r["error"] for r in got] == [None, None, "bad header line", None, None]
+    assert [w.converted(r)["page_id"] for r in got[1:4:2]] == [5, 6] and (got[4]["Content-type"], got[4]["block"]) == ("text/html; charset=x", b"abc")
     assert w.timestamp("99999999999999") == "1970-01-01T00:00:00Z" and list(w.parse_arc(b"")) == []
+
+
+def test_damaged_gzip_members():
+    import gzip
+
+    a, b, c = (gzip.compress(x * 1000) for x in (b"one", b"two", b"three"))
+    assert w.unpacked(a + b + c) == (b"one" * 1000 + b"two" * 1000 + b"three" * 1000, [])
+    broken = b[:-8] + bytes(8)  # a wrong checksum
+    data, bad = w.unpacked(a + broken + c)
+    assert data.startswith(b"one" * 1000) and data.endswith(b"three" * 1000) and len(bad) == 1
+    assert len(w.unpacked(a + b[:-3])[1]) == 1 and w.unpacked(b"plain") == (b"plain", [])
+
+
+def test_errors_are_listed_and_the_rest_converted(spark, tmp_path):
+    import gzip
+
+    good = w.arc_version_block(1, "f") + b"\n" + w.arc_record(1, 1, "http://a", "x") + b"\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc.gz").write_bytes(gzip.compress(good + b"not a header\n" + w.arc_record(1, 2, "http://b", "y")))
+    (tmp_path / "arc" / "b.arc").write_bytes(b"rubbish")
+    errors = w.conversion_errors(spark, f"file://{tmp_path}/arc").collect()
+    assert sorted((r["file"], r["error"]) for r in errors) == [("a.arc.gz", "bad header line"), ("b.arc", "no version block")]
+    got = w.read_warc(spark, w.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 2]
+
+
+def test_archives_roll_over(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(w, "ROLL", 3000)
+    rows = [(i, f"http://h/{i}", "page %d " % (i % 30) * 40) for i in range(60)]
+    arc = w.write_arc(spark.createDataFrame(rows, PAGES).coalesce(1), f"file://{tmp_path}/arc")
+    assert sum(f.endswith(".gz") for f in os.listdir(tmp_path / "arc")) > 5
+    got = w.read_warc(spark, w.convert(spark, arc, f"file://{tmp_path}/warc")).collect()
+    assert {r["page_id"]: r["refers_to"] for r in got} == {i: (i - 30 if i >= 30 else None) for i in range(60)}
