@@ -28,8 +28,8 @@ What joins by bucket is dealt by parts of the bucket, or by sides whose skew
 Spark can split, so no task gets a large bucket whole.
 
 Probability of missing a link of edit similarity s, which has a share
-j = s / (2 - s) of shingles in common, is (1 - j^ell)^sketches: under 2e-4 for
-texts at the threshold, and less above. Texts of at most 40 shingles also get
+j = s / (2 - s) of shingles in common, is (1 - j^ell)^sketches: under 1e-3 for
+texts right at the threshold, 1e-4 from 0.84, and less above. Texts of at most 40 shingles also get
 shorter sketches, as four shingles are many of theirs.
 
 Cases: a null or empty text, or one without words, is only grouped with equal
@@ -63,13 +63,13 @@ class OmhParams:
     shingle: int = 5
     similarity: float = 0.8
     #: (shingles in a sketch, sketches, least and most shingles of a text that gets them)
-    families: tuple[tuple[int, int, int, int], ...] = ((2, 14, 2, 40), (4, 40, 20, 1 << 40))
+    families: tuple[tuple[int, int, int, int], ...] = ((2, 14, 2, 40), (4, 32, 20, 1 << 40))
     #: Buckets of at most so many texts compare all pairs.
     small: int = 12
     #: Pivots that a larger bucket elects.
     pivots: int = 4
     #: Texts, and shingles, of a block of those that pivots leave open.
-    block: int = 1024
+    block: int = 512
     block_shingles: int = 1 << 20
     #: Texts of a bucket that are dealt together where facts about it are joined.
     part: int = 256
@@ -227,8 +227,8 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def rest(members: DataFrame, texts: DataFrame, params: OmhParams) -> DataFrame:
     """Links (a, b) that connect what is linked among the texts of each bucket and has different labels.
 
-    ``members`` has bucket, id, n, label and open; texts that aren't open have their bucket's one label.
-    A bucket of up to ``block`` texts is one cell, a larger one has cells by open, length and a hash of the id.
+    ``members`` has bucket, id, n, label, open and whole; texts that aren't open have their bucket's one label.
+    A bucket that is whole is one cell, a larger one has cells by open, length and a hash of the id.
     """
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,12 +238,7 @@ def rest(members: DataFrame, texts: DataFrame, params: OmhParams) -> DataFrame:
     known = saved(mapped(texts.join(members.select("id").distinct(), "id", "left_semi"), shingled, "id long, s array<long>"), "shingles")
     # Lengths of linked texts differ by one class at most.
     length = F.floor(F.log("n") / float(np.log(1.001 / params.similarity)))
-    size = members.groupBy("bucket", "part").agg(F.first("parts").alias("parts"), F.count("*").alias("c"), F.sum("n").alias("t"))
-    size = size.groupBy("bucket").agg(F.first("parts").alias("parts"), F.sum("c").alias("c"), F.sum("t").alias("t"))
-    whole = (F.col("c") <= params.block) & (F.col("t") <= params.block_shingles)
-    placed = members.join(spread(size.select("bucket", "parts", whole.alias("whole"))), ["bucket", "part"])
-    placed = placed.select("bucket", "id", "n", "label", (F.col("whole") | F.col("open")).alias("open"), F.when(F.col("whole"), 0).otherwise(length).alias("len"))
-    placed = saved(placed, "placed")
+    placed = members.select("bucket", "id", "n", "label", (F.col("whole") | F.col("open")).alias("open"), F.when(F.col("whole"), 0).otherwise(length).alias("len"))
     cells = placed.groupBy("bucket", "open", "len").agg(F.ceil(F.greatest(F.count("*") / params.block, F.sum("n") / params.block_shingles)).alias("k"))
     placed = saved(placed.join(saved(cells, "counts"), ["bucket", "open", "len"]).withColumn("k", F.pmod(F.xxhash64("id"), "k")), "cells")
     cells = placed.select("bucket", "open", "len", "k").distinct()
@@ -311,7 +306,7 @@ def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:
     large = saved(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = saved(bands.join(large, "bucket"), "members")
     central = saved(members.groupBy("id").agg(F.sum(F.log2("size")).alias("w"), F.first("th").alias("own")), "central")
-    texts = saved(rows.join(central, "id").where("th = own").groupBy("id").agg(F.first("text").alias("text")), "candidates")
+    texts = saved(rows.join(central.hint("merge"), "id").where("th = own").groupBy("id").agg(F.first("text").alias("text")), "candidates")
 
     ratio = F.least("n", "m") >= params.similarity * F.greatest("n", "m")
     few = members.where(F.col("size") <= params.small)
@@ -322,7 +317,7 @@ def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:
         .select("a", "b")
     )
     parts = F.ceil(F.col("size") / params.part)
-    many = members.where(F.col("size") > params.small).join(central.select("id", "w"), "id")
+    many = members.where(F.col("size") > params.small).join(central.select("id", "w").hint("merge"), "id")
     many = saved(many.select("bucket", "id", "n", "w", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).alias("part")), "large")
     # The most central text of each of so many shares of a bucket: found by partial aggregates, whatever the bucket's size.
     best = many.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(params.seed)), F.lit(params.pivots)).alias("share"))
@@ -334,10 +329,12 @@ def classes(docs: DataFrame, params: OmhParams = OmhParams()) -> DataFrame:
     label = saved(components(verify(pairs, texts, params)), "components")
 
     now = many.join(label.withColumnRenamed("root", "label"), "id", "left").select("bucket", "id", "n", "parts", "part", F.coalesce("label", "id").alias("label"))
-    top = now.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.first("parts").alias("parts"))
-    top = top.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"), F.first("parts").alias("parts")).where("labels > 1")
-    left = now.join(spread(saved(top.select("bucket", "top", "parts"), "tops")), ["bucket", "part"])
-    left = saved(left.select("bucket", "id", "n", "parts", "part", "label", (F.col("label") != F.col("top.label")).alias("open")), "open")
+    top = now.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("t"), F.first("parts").alias("parts"))
+    top = top.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.sum("t").alias("t"), F.first("parts").alias("parts"))
+    whole = (F.col("c") <= params.block) & (F.col("t") <= params.block_shingles)
+    top = top.where("labels > 1").select("bucket", "parts", F.col("top.label").alias("main"), whole.alias("whole"))
+    left = now.drop("parts").join(spread(saved(top, "tops")), ["bucket", "part"])
+    left = saved(left.select("bucket", "id", "n", "label", "whole", (F.col("label") != F.col("main")).alias("open")), "open")
     if not left.isEmpty():
         more = saved(rest(left, texts, params), "links")
         if not more.isEmpty():
