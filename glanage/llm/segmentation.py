@@ -27,7 +27,9 @@ Cases: a null or empty text has no pieces and no samples; text in characters
 that no piece has falls back to bytes; texts with fewer than k segmentations
 give all of them, with inclusion 1; long texts and long words are sampled
 whole; rows with equal keys and texts give equal samples, a null key counts as
-an empty one. An empty table gives an empty result; extra columns are ignored.
+an empty one. Ties: of equal perturbed values the set that was put on the queue
+first yields its path first; a lone surrogate can't be in a Spark string, and a
+text that held one would not count as a round trip. An empty table gives an empty result; extra columns are ignored.
 The literal mark U+2581 decodes as a space, as it does in the tokenizer itself.
 """
 
@@ -380,7 +382,7 @@ def segmentations(docs: DataFrame, model_path: str = MODEL, params: SampleParams
                 ids = [r[2] for r in rows]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32)
-                back = [x == (MARK + r[6]).replace(" ", MARK).encode("utf-8", "replace") for x, r in zip(voc.spelled(flat, offsets), rows, strict=True)]
+                back = [x == (MARK + r[6]).replace(" ", MARK).encode("utf-8", "surrogatepass") for x, r in zip(voc.spelled(flat, offsets), rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int64()),
