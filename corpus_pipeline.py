@@ -11,14 +11,18 @@ return the columns of documents.
 5. segmentation: sampled segmentations of each text, with inclusion scores.
 
 Null and empty texts pass through the first four stages (equal ones count as
-copies); extra columns of documents are dropped by the first stage.
+copies); very long texts are taken whole by every stage; rows that share a
+doc_id leave the second stage as one, the least; ties go as the stages' own
+modules say; an empty table gives an empty result; extra columns of documents
+are dropped by the first stage. A stage's table is deleted when the next one is
+written, the last when the application ends.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glanage.llm.common import saved
+from glanage.llm.common import forget, saved
 from glanage.llm.decontamination import stage_decontamination
 from glanage.llm.minhash import stage_near_duplicates
 from glanage.llm.pii import stage_pii
@@ -41,5 +45,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what comes between is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        last, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            forget(last)
     return STAGES[-1][1](spark, docs, sf_dir)
