@@ -1,13 +1,14 @@
 """French stemming after the published Snowball description, and a small rule lemmatiser.
 
-Both work on single words; apply them to distinct forms only (see
-``operators.lexicon``), as they run in Python.
+Both work on single words. The stemmer runs in Python: apply it to distinct
+forms only (see ``operators.lexicon``). The lemmatiser is a column function.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -189,23 +190,23 @@ def stem(word: str | None) -> str | None:
 IRREGULAR = {"est": "être", "sont": "être", "était": "être", "a": "avoir", "ont": "avoir", "avait": "avoir", "yeux": "œil", "fait": "faire", "font": "faire", "va": "aller", "vont": "aller", "peut": "pouvoir", "peuvent": "pouvoir"}
 
 
-def lemma(word: str | None) -> str | None:
+#: Endings of the rule lemmatiser and what takes their place, as fixed values; the first that fits counts.
+ENDINGS = (("eaux", "eau"), ("aux", "al"), ("ées", "er"), ("és", "er"), ("ée", "er"), ("issent", "ir"), ("issant", "ir"), ("aient", "er"), ("erait", "er"), ("eront", "er"))
+#: What a plural s or x may not follow, as fixed values.
+KEPT_S, KEPT_X = ("ss", "us", "is", "as"), ("oux", "eux")
+
+
+def lemma_of(word: Column) -> Column:
     """A dictionary form by suffix rules: plurals and common verb endings; the word itself where no rule fits."""
-    if not word:
-        return word
-    w = word.lower()
-    if w in IRREGULAR:
-        return IRREGULAR[w]
-    if len(w) <= 3:
-        return w
-    for ending, put in (("eaux", "eau"), ("aux", "al"), ("ées", "er"), ("és", "er"), ("ée", "er"), ("issent", "ir"), ("issant", "ir"), ("aient", "er"), ("erait", "er"), ("eront", "er")):
-        if w.endswith(ending) and len(w) > len(ending) + 2:
-            return w[: -len(ending)] + put
-    if w.endswith("s") and not w.endswith(("ss", "us", "is", "as")):
-        return w[:-1]
-    if w.endswith("x") and w.endswith(("oux", "eux")) is False and w.endswith("ux"):
-        return w[:-1]
-    return w
+    w = F.lower(word)
+    shorter = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
+    ends = lambda *these: reduce(lambda a, b: a | b, (F.endswith(w, F.lit(x)) for x in these))
+    irregular = F.create_map(*(F.lit(x) for kv in IRREGULAR.items() for x in kv))
+    out = F.when(w.isin(list(IRREGULAR)), F.try_element_at(irregular, w)).when(F.length(w) <= 3, w)
+    for ending, put in ENDINGS:
+        out = out.when(ends(ending) & (F.length(w) > len(ending) + 2), F.concat(shorter(len(ending)), F.lit(put)))
+    out = out.when(ends("s") & ~ends(*KEPT_S), shorter(1)).when(ends("ux") & ~ends(*KEPT_X), shorter(1))
+    return F.when(word == "", word).otherwise(out.otherwise(w))
 
 
 def _mapped(rule: Callable[[str | None], str | None]) -> Callable[[Column], Column]:
@@ -216,5 +217,5 @@ def _mapped(rule: Callable[[str | None], str | None]) -> Callable[[Column], Colu
     return lambda column: F.pandas_udf(run, StringType())(column)
 
 
-#: Column functions; Arrow batches, one call of the rule per row.
-stem_udf, lemma_udf = _mapped(stem), _mapped(lemma)
+#: A column function; Arrow batches, one call of the rule per row.
+stem_udf = _mapped(stem)

@@ -6,6 +6,8 @@ counts. Rules that run in Python are applied to distinct words only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,24 @@ def distinct_words(tokens: DataFrame, column: str = "mot") -> DataFrame:
 
 
 def lemma_map(tokens: DataFrame) -> DataFrame:
-    """(mot, lemme) of every word with a letter. The rules stand where a full lexicon can be loaded instead."""
-    return distinct_words(tokens).select("mot", rules.lemma_udf(F.col("mot")).alias("lemme"))
+    """(mot, lemme) of every word with a letter, by rules; ``lemmas_by`` takes a full lexicon first."""
+    return distinct_words(tokens).select("mot", rules.lemma_of(F.col("mot")).alias("lemme"))
+
+
+def lemmas_by(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(mot, lemme) of every word with a letter: the first lemma that the lexicon (mot, lemme, ord) has for it, else the one by rules."""
+    known = lexicon.groupBy("mot").agg(F.min_by("lemme", "ord").alias("own"))
+    return distinct_words(tokens).join(known, "mot", "left").select("mot", F.coalesce("own", rules.lemma_of(F.col("mot"))).alias("lemme"))
+
+
+def joined_maps(lemmas: DataFrame, stems: DataFrame) -> DataFrame:
+    """(mot, lemme, racine) of the words that both maps have."""
+    return lemmas.select("mot", "lemme").join(stems.select("mot", "racine"), "mot")
+
+
+def verb_sample(both: DataFrame, n: int = 15) -> DataFrame:
+    """A sample of the words whose lemma looks like a verb's and differs from their stem."""
+    return sample_of(verbs(different(both)), "mot", n)
 
 
 def stem_map(tokens: DataFrame) -> DataFrame:
@@ -99,7 +117,7 @@ def verbs(both: DataFrame, column: str = "lemme") -> DataFrame:
 
 def sample_of(df: DataFrame, column: str, n: int) -> DataFrame:
     """A sample that is the same each time: the rows of least hash."""
-    return df.orderBy(F.xxhash64(column), column).limit(n)
+    return df.orderBy(F.md5(F.col(column).cast("binary")), column).limit(n)
 
 
 def report(counts: DataFrame) -> str:
@@ -115,9 +133,15 @@ def report(counts: DataFrame) -> str:
 
 
 def candidates(words: DataFrame, lexicon: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """(w, mot, ord, score, dist): forms that begin like the word; only such forms have a score, so the first letter is a join key."""
-    a = words.select(F.col("mot").alias("w"), F.substring("mot", 1, 1).alias("c")).distinct()
-    b = lexicon.select("mot", "ord", F.substring("mot", 1, 1).alias("c"))
+    """(w, mot, ord, score, dist): forms that begin like the word.
+
+    Only such forms have a score, and words of under three letters have none: so
+    many first letters as the least score asks for of three, one at least, are
+    the join key.
+    """
+    shared = max(1, min(3, math.ceil(least_score * 3 / 100 - 1e-9)))
+    a = words.select(F.col("mot").alias("w"), F.substring("mot", 1, shared).alias("c")).distinct()
+    b = lexicon.select("mot", "ord", F.substring("mot", 1, shared).alias("c"))
     near = F.abs(F.length("w") - F.length("mot")) <= 4
     met = a.join(b, "c").where(near).withColumn("score", text.prefix_score(F.col("w"), F.col("mot")))
     met = met.where((F.col("score") > 0) & (F.col("score") >= least_score))
@@ -152,18 +176,15 @@ def correct(words: DataFrame, lexicon: DataFrame, keep: tuple[str, ...] = ("trav
 def edits1(words: DataFrame, lemmas: DataFrame) -> DataFrame:
     """(w, lemme, freq): known lemmas one deletion, swap, replacement or insertion away.
 
-    One edit leaves the first or the last letter of a word of three or more in
-    place (a swap of two first letters leaves the last), so those two are the
-    join keys; shorter words meet only the lemmas of up to three letters.
+    Words one edit apart are equal after at most one deletion on either side,
+    so each word and lemma is joined by itself and all that one deletion makes
+    of it: as many rows as letters, on keys that few words share.
     """
-    a = words.select(F.col("mot").alias("w")).distinct()
-    b = lemmas.select("lemme", "freq")
-    long_, short = F.length("w") >= 3, F.length("w") < 3
-    key = lambda c, i: F.concat(F.lit("^" if i == 0 else "$"), F.substring(c, 1, 1) if i == 0 else F.substring(c, -1, 1))
-    keys = lambda c: F.explode(F.array(key(c, 0), key(c, 1)))
-    met = a.where(long_).select("w", keys("w").alias("k")).join(b.select("lemme", "freq", keys("lemme").alias("k")), "k").drop("k")
-    tiny = a.where(short).select("w", F.lit(1).alias("k")).join(b.where(F.length("lemme") <= 3).select("lemme", "freq", F.lit(1).alias("k")), "k").drop("k")
-    pairs = met.unionByName(tiny).where(F.abs(F.length("w") - F.length("lemme")) <= 1).distinct()
+    shorter = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    keys = lambda c: F.explode(F.when(F.length(c) > 0, F.array_distinct(F.concat(F.array(c), shorter(F.col(c))))).otherwise(F.array(c)))
+    a = words.select(F.col("mot").alias("w")).distinct().select("w", keys("w").alias("k"))
+    b = lemmas.select("lemme", "freq").distinct().select("lemme", "freq", keys("lemme").alias("k"))
+    pairs = a.join(b, "k").drop("k").distinct()
     return pairs.where(_one_edit(F.col("w"), F.col("lemme")))
 
 
@@ -179,7 +200,8 @@ def _one_edit(w: Column, lemme: Column) -> Column:
 
 
 def cascade(words: DataFrame, lexicon: DataFrame, lemmas: DataFrame, least_score: float = 60.0, most: int = 10, most_dist: int = 2) -> DataFrame:
-    """(mot, corrected, method): known lemma, known form, one edit (most frequent), or best of the likeliest by prefix; else null.
+    """(mot, corrected, method): known lemma, lemma of a known form, lemma one edit away (most frequent), or lemma of the nearest of the
+    forms likeliest by prefix; else null.
 
     ``lexicon`` has mot, lemme and ord; ``lemmas`` has lemme, freq and ord.
     """
@@ -189,10 +211,12 @@ def cascade(words: DataFrame, lexicon: DataFrame, lemmas: DataFrame, least_score
     open_ = known.where("own is null and form is null").select("mot")
     one = edits1(open_, lemmas).groupBy(F.col("w").alias("mot")).agg(F.min_by("lemme", F.struct(-F.col("freq"), "lemme")).alias("edit"))
     left = open_.join(one.select("mot"), "mot", "left_anti")
-    near = candidates(left, lemmas.select(F.col("lemme").alias("mot"), "ord"), least_score)
+    first = lexicon.groupBy("mot").agg(F.min_by("lemme", "ord").alias("lemme"), F.min("ord").alias("ord"))
+    near = candidates(left, first.select("mot", "ord"), least_score)
     order = Window.partitionBy("w").orderBy(F.desc("score"), "ord")
     near = near.withColumn("r", F.row_number().over(order)).where((F.col("r") <= most) & (F.col("dist") <= most_dist))
-    prefix = near.groupBy(F.col("w").alias("mot")).agg(F.min_by("mot", F.struct("dist", -F.col("score"), "ord")).alias("prefix"))
+    best = near.groupBy("w").agg(F.min_by("mot", F.struct("dist", -F.col("score"), "ord")).alias("mot"))
+    prefix = best.join(first, "mot").select(F.col("w").alias("mot"), F.col("lemme").alias("prefix"))
     out = known.join(one, "mot", "left").join(prefix, "mot", "left")
     method = F.when(F.col("own").isNotNull(), "lemma").when(F.col("form").isNotNull(), "form").when(F.col("edit").isNotNull(), "edit").when(F.col("prefix").isNotNull(), "prefix")
     return out.select("mot", F.coalesce("own", "form", "edit", "prefix").alias("corrected"), method.otherwise("none").alias("method"))

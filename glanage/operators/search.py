@@ -1,7 +1,7 @@
 """Search: a structured query lowered to semi and anti joins over the postings.
 
 ``docs`` has one row per doc_id, with date, rubrique and has_image; ``postings``
-has field, term and doc_id. Postings are filtered to the named terms before anything moves.
+has field, term and doc_id. Postings are filtered to the named terms before anything moves, and read once for all words of a query.
 """
 
 from __future__ import annotations
@@ -16,14 +16,67 @@ from glanage.plans.query import PartialDate, StructuredQuery
 from glanage.plans.question import analyse
 
 
+#: Terms that one number has bits for.
+_BITS = 62
+
+
+def matching(postings: DataFrame, wanted: Sequence[tuple[str, Sequence[str], str]], unwanted: Sequence[tuple[str, Sequence[str]]] = ()) -> DataFrame:
+    """doc_id of documents that meet every wanted criterion (field, terms, op) and hold no unwanted term, in one pass over the postings.
+
+    op is or (any term) or and (all); terms in no document are ignored, and a
+    criterion without a known term is met by none. Each document gets the set of
+    its terms as bits, and so has the collection: the terms that are known.
+    """
+    named = sorted({(f, t) for f, terms, *_ in (*wanted, *unwanted) for t in terms})
+    bit = {x: divmod(i, _BITS) for i, x in enumerate(named)}
+    n = -(-len(named) // _BITS)
+    fields = sorted({f for f, _ in named})
+    here = F.lit(False)
+    for f in fields:
+        here = here | ((F.col("field") == f) & F.col("term").isin([t for g, t in named if g == f]))
+    own = postings.where(here).select("doc_id", F.struct("field", "term").alias("x"))
+
+    def bits(word: int) -> Column:
+        value = F.lit(0).cast("long")
+        for (f, t), (w, at) in bit.items():
+            if w == word:
+                value = F.when((F.col("x.field") == f) & (F.col("x.term") == t), F.lit(1 << at).cast("long")).otherwise(value)
+        return value
+
+    masks = [f"m{w}" for w in range(n)]
+    per_doc = own.groupBy("doc_id").agg(*(F.bit_or(bits(w)).alias(m) for w, m in enumerate(masks)))
+    mask = lambda f, terms: [sum(1 << bit[f, t][1] for t in set(terms) if bit[f, t][0] == w) for w in range(n)]
+    some = lambda prefix, values: _any([F.col(f"{prefix}{w}").bitwiseAND(F.lit(v).cast("long")) != 0 for w, v in enumerate(values) if v])
+    if any(op == "and" and len(set(terms)) > 1 for _, terms, op in wanted):
+        known = per_doc.agg(*(F.coalesce(F.bit_or(m), F.lit(0)).alias(f"k{w}") for w, m in enumerate(masks)))
+        per_doc = per_doc.crossJoin(F.broadcast(known))  # one row
+    good = F.lit(True)
+    for f, terms, op in wanted:
+        values = mask(f, terms)
+        if op == "or" or len(set(terms)) == 1:
+            good = good & some("m", values)
+        else:
+            held = lambda w, v: F.col(f"k{w}").bitwiseAND(F.lit(v).cast("long"))
+            good = good & some("k", values)
+            for w, v in enumerate(values):
+                good = good & (F.col(f"m{w}").bitwiseAND(held(w, v)) == held(w, v))
+    for f, terms in unwanted:
+        good = good & ~some("m", mask(f, terms))
+    return per_doc.where(good).select("doc_id")
+
+
+def _any(conditions: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def having_terms(postings: DataFrame, field: str, terms: Sequence[str], op: str = "and") -> DataFrame:
     """doc_id, maybe repeated, of documents with any (or) or all (and) of the terms; terms in no document are ignored, none known gives none."""
-    own = postings.where((F.col("field") == field) & F.col("term").isin(list(terms)))
     if op == "or" or len(set(terms)) == 1:
-        return own.select("doc_id")  # repeats don't matter to a semi or anti join
-    known = own.agg(F.count_distinct("term").alias("known"))
-    per_doc = own.groupBy("doc_id").agg(F.count_distinct("term").alias("n"))
-    return per_doc.join(F.broadcast(known), F.col("n") == F.col("known")).select("doc_id")  # one row
+        return postings.where((F.col("field") == field) & F.col("term").isin(list(terms))).select("doc_id")  # repeats don't matter to a semi or anti join
+    return matching(postings, [(field, terms, op)])
 
 
 def date_matches(date: Column, d: PartialDate) -> Column:
@@ -83,27 +136,31 @@ def search(q: StructuredQuery, docs: DataFrame, postings: DataFrame, compat: boo
     With ``compat`` a criterion that no document meets is passed over instead of
     emptying the result, as the older engine does.
     """
-    out = docs
-    wanted = F.lower(F.trim("rubrique"))
+    section = F.lower(F.trim("rubrique"))
+    words = [(field, terms, op) for field, terms, op in (("texte", q.kw_yes, q.kw_op), ("titre", q.titres, q.titre_op)) if terms]
     steps = []
-    if q.kw_yes:
-        steps.append(lambda d: d.join(having_terms(postings, "texte", q.kw_yes, q.kw_op), "doc_id", "left_semi"))
-    if q.titres:
-        steps.append(lambda d: d.join(having_terms(postings, "titre", q.titres, q.titre_op), "doc_id", "left_semi"))
+    if compat:
+        for field, terms, op in words:
+            steps.append(lambda d, f=field, t=terms, o=op: d.join(having_terms(postings, f, t, o), "doc_id", "left_semi"))
+    elif words:
+        steps.append(lambda d: d.join(matching(postings, words, [("texte", q.kw_no)] if q.kw_no else ()), "doc_id", "left_semi"))
     if q.rubriques:
-        steps.append(lambda d: d.where(wanted.isin([r.lower().strip() for r in q.rubriques])))
+        named = {r.lower().strip() for r in q.rubriques}
+        # A document has one section: it is in all of several only if they are the same.
+        steps.append(lambda d: d.where(section.isin(list(named)) if q.rub_op == "or" or len(named) == 1 else F.lit(False)))
     if q.images:
         steps.append(lambda d: d.where("has_image"))
     condition = date_condition(F.col("date"), q)
     if condition is not None:
         steps.append(lambda d: d.where(condition))
+    out = docs
     for step in steps:
         narrowed = step(out)
         if not compat or not narrowed.isEmpty():
             out = narrowed
         elif step is not steps[-1]:
             out = docs
-    if q.kw_no:
+    if q.kw_no and (compat or not words):
         out = out.join(having_terms(postings, "texte", q.kw_no, "or"), "doc_id", "left_anti")
     return sections(out) if q.target == "rubriques" else out.select("doc_id")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glanage.functions import stem, text
 from glanage.operators import index, weights
 
 
@@ -33,6 +34,11 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.word_index(documents(spark, sf_dir), "texte", F.col("text"))
 
 
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of titles: the first twelve words of a text."""
+    return index.word_index(documents(spark, sf_dir), "titre", F.array_join(F.slice(text.words(F.col("text")), 1, 12), " "))
+
+
 def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """docs of the search: a document with its source as section and the date of the order of the same number."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("date"))
@@ -55,15 +61,35 @@ TF = f"{TOKENS}, tf as (select mot, doc_id, count(*) as tf from tok group by 1,
 IDF = f"{TF}, idf as (select mot, log10((select count(distinct doc_id) from tf) / count(*)) as idft from tf group by 1)"
 SCORED = f"{IDF}, w as (select doc_id, tf.mot, tf * idft as tf_idf from tf join idf using (mot))"
 _ARTICLES = "'le','la','les','un','une','des','du','de','d''','l’','l''','au','aux'"
-POSTINGS = (
-    "words as (select doc_id, list_filter(regexp_split_to_array(lower("
-    "translate(coalesce(text, ''), '.,?:' || chr(10) || '\"!', '       ')), '\\s+'), lambda x: x <> '') as w from documents), "
-    "idx as (select term, doc_id, cast(count(*) as int) as tf from (select doc_id, unnest(list_transform(list_filter(w, lambda t, i: "
-    f"t not in ({_ARTICLES}) and not (t = 'à' and coalesce(w[i + 1] = 'la' or regexp_matches(w[i + 1], '^l[''’]'), false))), "
-    "lambda t: regexp_replace(t, '^(?:d''|l[''’])', ''))) as term from words) where term <> '' group by 1, 2)"
-)
+
+
+def _postings(words: str, idx: str, content: str) -> str:
+    return (
+        f"{words} as (select doc_id, list_filter(regexp_split_to_array(lower("
+        f"translate({content}, '.,?:' || chr(10) || '\"!', '       ')), '\\s+'), lambda x: x <> '') as w from documents), "
+        f"{idx} as (select term, doc_id, cast(count(*) as int) as tf from (select doc_id, unnest(list_transform(list_filter(w, lambda t, i: "
+        f"t not in ({_ARTICLES}) and not (t = 'à' and coalesce(w[i + 1] = 'la' or regexp_matches(w[i + 1], '^l[''’]'), false))), "
+        f"lambda t: regexp_replace(t, '^(?:d''|l[''’])', ''))) as term from {words}) where term <> '' group by 1, 2)"
+    )
+
+
+POSTINGS = _postings("words", "idx", "coalesce(text, '')")
+TITLES = _postings("heads", "titles", "array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')[1:12], ' ')")
 BULLETINS = (
     "b as (select doc_id, source as rubrique, contains(lower(text), 'licens') as has_image, cast(o_orderdate as date) as date "
     "from documents left join orders on o_orderkey = doc_id)"
 )
 PARTS = "lex as (select mot, min(p_partkey) as ord from (select p_partkey, unnest(regexp_split_to_array(lower(p_name), '\\s+')) as mot from part) where mot <> '' group by 1)"
+
+
+def _lemma() -> str:
+    """The lemma rules over a lower-case column mot."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    ends = lambda these: "(" + " or ".join(f"suffix(mot, {quoted(x)})" for x in these) + ")"
+    cut = lambda n: f"left(mot, length(mot) - {n})"
+    irregular = " ".join(f"when mot = {quoted(k)} then {quoted(v)}" for k, v in stem.IRREGULAR.items())
+    endings = " ".join(f"when {ends([e])} and length(mot) > {len(e) + 2} then {cut(len(e))} || {quoted(p)}" for e, p in stem.ENDINGS)
+    return f"case {irregular} when length(mot) <= 3 then mot {endings} when {ends(['s'])} and not {ends(stem.KEPT_S)} then {cut(1)} when {ends(['ux'])} and not {ends(stem.KEPT_X)} then {cut(1)} else mot end"
+
+
+LEMMA = _lemma()

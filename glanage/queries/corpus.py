@@ -111,9 +111,17 @@ def frequent_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf: str) -> DataFrame:
-    """Words with two simple maps that SQL has too: without a plural s as lemma, the first five letters as stem."""
-    w = lexicon.distinct_words(weights.tokens(c.documents(spark, sf)))
-    return w.select("mot", F.regexp_replace("mot", "s$", "").alias("lemme"), F.substring("mot", 1, 5).alias("racine"))
+    """Words with their lemmas and with a simple map that SQL has too in place of stems: the first five letters."""
+    tokens = weights.tokens(c.documents(spark, sf))
+    short = lexicon.distinct_words(tokens).select("mot", F.substring("mot", 1, 5).alias("racine"))
+    return lexicon.joined_maps(lexicon.lemma_map(tokens), short)
+
+
+def map_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """Lemmas beside true stems of the French words: how much each reduces, and by how many letters."""
+    tokens = weights.tokens(c.french(spark, sf))
+    both = lexicon.joined_maps(lexicon.lemma_map(tokens), lexicon.stem_map(tokens))
+    return lexicon.distinct_counts(both).crossJoin(F.broadcast(lexicon.lengths(both)))  # one row each
 
 
 def map_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,6 +151,21 @@ def verb_lemmas(spark: SparkSession, sf: str) -> DataFrame:
     return lexicon.verbs(lexicon.different(_both(spark, sf))).select("mot", "lemme")
 
 
+def verb_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.verb_sample(_both(spark, sf)).select("mot", "lemme")
+
+
+def lemma_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each lemma of the corpus occurs, in any of its forms."""
+    return lexicon.lexicon_of(weights.tokens(c.documents(spark, sf)))[1].select("lemme", "freq")
+
+
+def lemmatised(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names with every word put to a lemma by a lexicon."""
+    p = c.parts(spark, sf).select("mot", F.concat(F.substring("mot", 1, 3), F.lit("-")).alias("lemme"), "ord")
+    return lexicon.lemmatise_sentences(c.table(spark, sf, "part").select(F.col("p_partkey").alias("sentence_id"), F.col("p_name").alias("sentence")), p)
+
+
 def word_sample(spark: SparkSession, sf: str) -> DataFrame:
     return lexicon.sample_of(lexicon.distinct_words(weights.tokens(c.documents(spark, sf))), "mot", 15)
 
@@ -168,7 +191,7 @@ def map_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ROUNDED = f"{c.SCORED}, r as (select doc_id, mot, round(tf_idf, 6) as tf_idf from w)"
-_BOTH = f"{c.TOKENS}, m as (select mot, regexp_replace(mot, 's$', '') as lemme, substr(mot, 1, 5) as racine from (select distinct mot from tok where regexp_matches(mot, '\\p{{L}}')))"
+_BOTH = f"{c.TOKENS}, m as (select mot, {c.LEMMA} as lemme, substr(mot, 1, 5) as racine from (select distinct mot from tok where regexp_matches(mot, '\\p{{L}}')))"
 _WORDS = "regexp_split_to_array({}, '\\s+')"
 _NOISE = c._ARTICLES
 
@@ -197,8 +220,8 @@ QUERIES = {
     "stop_words_tails": (stop_words_tails, f"with {_ROUNDED} select distinct mot from r where tf_idf <= (select quantile_cont(tf_idf, 0.17) from r) or tf_idf >= 15"),
     "stop_words_means": (
         stop_words_means,
-        f"with {c.IDF}, i as (select mot, round(idft, 6) as idft from idf), a as (select mot, avg(tf * idft) as m from tf join i using (mot) group by 1) "
-        "select mot from i where idft < 0.3 union select mot from a where m < (select quantile_cont(m, 0.02) from a)",
+        f"with {c.IDF}, i as (select mot, round(idft, 6) as idft from idf), r as (select mot, round(avg(tf * idft), 6) as m from tf join i using (mot) group by 1) "
+        "select mot from i where idft < 0.3 union select mot from r where m < (select quantile_cont(m, 0.02) from r)",
     ),
     "stop_filtered": (stop_filtered, f"with {c.TOKENS}, s as (select mot from tok group by 1 order by count(*) desc, mot limit 100) select doc_id, count(*) as n from tok where mot not in (select mot from s) group by 1"),
     "filtered_text": (
@@ -221,12 +244,24 @@ QUERIES = {
     ),
     "map_different": (map_different, f"with {_BOTH} select * from m where lemme <> racine"),
     "verb_lemmas": (verb_lemmas, f"with {_BOTH} select mot, lemme from m where lemme <> racine and regexp_matches(lemme, '(er|ir|oir|re)$')"),
-    "word_sample": (word_sample, None),
+    "verb_sample": (verb_sample, f"with {_BOTH} select mot, lemme from m where lemme <> racine and regexp_matches(lemme, '(er|ir|oir|re)$') order by md5(mot), mot limit 15"),
+    "word_sample": (word_sample, f"with {_BOTH} select mot from m order by md5(mot), mot limit 15"),
+    "lemma_frequencies": (lemma_frequencies, f"with {c.TOKENS} select {c.LEMMA} as lemme, count(*) as freq from tok where regexp_matches(mot, '\\p{{L}}') group by 1"),
+    "lemmatised": (
+        lemmatised,
+        "select p_partkey as doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda x: x <> ''), lambda x: substr(x, 1, 3) || '-'), ' ') as text from part",
+    ),
     "substituted": (
         substituted,
         f"select doc_id, array_to_string(list_transform(list_filter({_WORDS.format('lower(text)')}, lambda x: x <> ''), lambda x: case when length(x) > 5 then substr(x, 1, 5) else x end), ' ') as text from documents",
     ),
     "stems": (stems, None),
-    "lemmas": (lemmas, None),
-    "map_report": (map_report, None),
+    "lemmas": (lemmas, f"with {c.TOKENS} select mot, {c.LEMMA} as lemme from (select distinct mot from tok where lang = 'fr' and regexp_matches(mot, '\\p{{L}}'))"),
+    "map_stems": (map_stems, None),
+    "map_report": (
+        map_report,
+        f"with {_BOTH}, k as (select count(distinct mot) as w, count(distinct lemme) as l, count(distinct racine) as r from m) select '# Lemmas and stems' || chr(10) || chr(10) || '| | distinct | reduction (%) |' || chr(10) || "
+        "'| - | - | - |' || chr(10) || '| words | ' || w || ' | |' || chr(10) || '| lemmas | ' || l || ' | ' || printf('%.2f', (1 - l / w) * 100) || ' |' || chr(10) || "
+        "'| stems | ' || r || ' | ' || printf('%.2f', (1 - r / w) * 100) || ' |' || chr(10) || chr(10) || case when r < l then 'stemming' else 'lemmatisation' end || ' reduces the vocabulary more.' || chr(10) as report from k",
+    ),
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glanage.queries import corpus, retrieval
+from glanage.queries import corpus, retrieval, stores
 
-_ALL = corpus.QUERIES | retrieval.QUERIES
+_ALL = corpus.QUERIES | retrieval.QUERIES | stores.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -75,6 +75,10 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.col("term").alias("doc_id"), index.vector_or(a, b).alias("either"), index.vector_and(a, b).alias("both"), index.vector_and(a, index.vector_not(b)).alias("only"))
 
 
+def title_index(spark: SparkSession, sf: str) -> DataFrame:
+    return c.titles(spark, sf).select("term", "doc_id", "tf")
+
+
 def _expression(e: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: boolean.evaluate(e, c.postings(spark, sf), c.documents(spark, sf))
 
@@ -94,6 +98,11 @@ def _search(q: StructuredQuery, **more: bool) -> Callable[[SparkSession, str], D
     return lambda spark, sf: search.search(q, c.bulletins(spark, sf), c.postings(spark, sf), **more)
 
 
+def _title_search(q: StructuredQuery | str) -> Callable[[SparkSession, str], DataFrame]:
+    """A search in texts and titles; a question is analysed first."""
+    return lambda spark, sf: search.SearchEngine(c.bulletins(spark, sf), c.postings(spark, sf).unionByName(c.titles(spark, sf))).search(q)
+
+
 def nl_search(spark: SparkSession, sf: str) -> DataFrame:
     """A question in French, from text to documents."""
     engine = search.SearchEngine(c.bulletins(spark, sf), c.postings(spark, sf))
@@ -180,11 +189,13 @@ def correct_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 def precision_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Ten questions by section and word, judged by the quality labels."""
-    d, p = c.documents(spark, sf), c.postings(spark, sf)
+    d = c.documents(spark, sf)
     asked = spark.createDataFrame(_templates(), "query_id int, question string")
     analysed = asked.select("query_id", question.analysed(F.col("question")).alias("s")).select("query_id", F.get("s.rubriques", F.lit(0)).alias("source"), F.get("s.kw_yes", F.lit(0)).alias("term"))
     analysed = F.broadcast(analysed)  # ten rows
-    predicted = d.join(analysed, "source").join(p.select("term", "doc_id"), ["term", "doc_id"]).select("query_id", "doc_id")
+    # Only words that are asked for are counted: the index is made of no others.
+    words = d.select("doc_id", F.explode(F.array_distinct(text.index_words(F.col("text")))).alias("term")).join(analysed.select("term").distinct().hint("broadcast"), "term", "left_semi")
+    predicted = d.join(analysed, "source").select("query_id", "doc_id", "term").join(words, ["term", "doc_id"]).select("query_id", "doc_id")
     good = c.table(spark, sf, "labels").where("quality = 1").select("doc_id")
     relevant = d.join(analysed, "source").join(good, "doc_id", "left_semi").select("query_id", "doc_id")
     scored = evaluate.precision_recall(asked, predicted, relevant)
@@ -228,10 +239,6 @@ def page_bulletins(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("fichier", "numero", "date", "rubrique", F.size("images").alias("n_images"), F.length("texte").alias("n_texte"), "error")
 
 
-def questions(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_templates(), "line_no int, question string")
-
-
 def _k(*terms: str, **more: object) -> StructuredQuery:
     return StructuredQuery(kw_yes=terms, **more)
 
@@ -257,6 +264,42 @@ _PR = (
 )
 Y, M = PartialDate, "('janvier','février','mars','avril','mai','juin','juillet','août','septembre','octobre','novembre','décembre')"
 
+
+
+def _compat_sql() -> str:
+    """Signs blanked, then every article cut wherever it begins a word."""
+    out = "translate(text, '.,?:' || chr(10) || '\"!', '       ')"
+    for a in text.ARTICLES:
+        out = f"replace({out}, ' {a.replace(chr(39), chr(39) * 2)}', ' ')"
+    return out
+
+
+def _cascade_sql(words: str, forms: str) -> str:
+    """The correction of every word of ``words`` (w), over lemmas lem (mot, freq, ord) and forms (mot, lemme, ord)."""
+    return (
+        f"lem as (select mot, length(mot) as freq, ord from lex), forms as ({forms}), words as ({words}), al as (select unnest(string_split('{lexicon.LETTERS}', '')) as x), "
+        "e as (select w, substr(w, 1, i - 1) || substr(w, i + 1) as v from (select w, unnest(range(1, length(w) + 1)) as i from words) union "
+        "select w, substr(w, 1, i - 1) || substr(w, i + 1, 1) || substr(w, i, 1) || substr(w, i + 2) from (select w, unnest(range(1, length(w))) as i from words) union "
+        "select w, substr(w, 1, i - 1) || x || substr(w, i + 1) from (select w, unnest(range(1, length(w) + 1)) as i from words), al union "
+        "select w, substr(w, 1, i - 1) || x || substr(w, i) from (select w, unnest(range(1, length(w) + 2)) as i from words), al), "
+        "one as (select w, arg_min(mot, (-freq, mot)) as edit from e join lem on mot = v where w <> v group by 1), "
+        f"near as (select *, levenshtein(w, mot) as dist, row_number() over (partition by w order by score desc, ord) as r from (select a.w, b.mot, b.lemme, b.ord, {_SCORE} as score from words a, forms b) where score >= 60), "
+        "pre as (select w, arg_min(lemme, (dist, -score, ord)) as prefix from near where r <= 10 and dist <= 2 group by 1), "
+        "fixed as (select w as mot, coalesce(lem.mot, forms.lemme, edit, prefix) as corrected, case when lem.mot is not null then 'lemma' when forms.lemme is not null then 'form' "
+        "when edit is not null then 'edit' when prefix is not null then 'prefix' else 'none' end as method "
+        "from words left join lem on lem.mot = w left join forms on forms.mot = w left join one using (w) left join pre using (w))"
+    )
+
+
+_CASCADE = _cascade_sql(
+    "select w from bad union select mot from lex union select mot || 's' from lex union select mot || 'ing' from lex", "select mot || 's' as mot, mot as lemme, ord from lex"
+)
+_SENTENCES = _cascade_sql("select distinct mot as w from placed", "select mot, mot as lemme, ord from lex")
+_PLACED = (
+    "placed as (select p_partkey as sentence_id, i - 1 as pos, a[i] as mot from (select p_partkey, a, unnest(range(1, len(a) + 1)) as i from "
+    "(select p_partkey, string_split(regexp_replace(lower(p_name), '[aeiou]([a-z])$', '\\1'), ' ') as a from part)))"
+)
+
 QUERIES = {
     "postings_tf": (postings_tf, f"{_P} select * from idx"),
     "posting_lists": (posting_lists, f"{_P} select term, count(*) as freq, array_to_string(list_sort(list(doc_id)), ',') as docs from idx group by 1"),
@@ -265,7 +308,8 @@ QUERIES = {
     "date_index": (date_index, "select 'date' as field, strftime(o_orderdate, '%d/%m/%Y') as term, o_orderkey as doc_id, cast(1 as int) as tf from orders"),
     "flag_index": (flag_index, "select 'ad' as field, case when contains(html, '<div class=\"ad\">') then 'yes' else 'no' end as term, page_id as doc_id, cast(1 as int) as tf from pages"),
     "combined_index": (combined_index, f"{_P} select term, doc_id, cast(sum(tf) as int) as tf from (select term, doc_id, tf from idx union all select lower(source), doc_id, 1 from documents) group by 1, 2"),
-    "title_index_compat": (title_index_compat, None),
+    "title_index": (title_index, f"with {c.TITLES} select * from titles"),
+    "title_index_compat": (title_index_compat, f"select term, count(*) as n from (select distinct doc_id, unnest(list_filter(regexp_split_to_array(lower({_compat_sql()}), '\\s+'), lambda x: x <> '')) as term from documents) group by 1"),
     "incidence": (incidence, "select term, doc_id, cast(contains(lower(text), term) as int) as present from documents, (select unnest(['the','for','licens','moron','que','und']) as term)"),
     "incidence_by_lang": (
         incidence_by_lang,
@@ -291,6 +335,21 @@ QUERIES = {
     "search_unknown_ignored": (_search(_k("that", "nosuchword")), _B + has("that")),
     "search_none_known": (_search(_k("nosuchword")), _B + "false"),
     "search_facet_not": (_search(_k("that", rubriques=("src3", "SRC7 "), kw_no=("with",))), _B + f"rubrique in ('src3', 'src7') and {has('that')} and {hasnt('with')}"),
+    "search_title_and": (_title_search(_k(titres=("the", "of", "nosuchword"))), f"with {c.TITLES} select doc_id from titles where term = 'the' intersect select doc_id from titles where term = 'of'"),
+    "search_title_or_text": (
+        _title_search(_k("that", titres=("die", "the"), titre_op="or", kw_no=("moron",))),
+        f"with {c.POSTINGS}, {c.TITLES} select distinct doc_id from documents where doc_id in (select doc_id from titles where term in ('die', 'the')) and {has('that')} and {hasnt('moron')}",
+    ),
+    "search_question_title": (
+        _title_search("Quels sont les bulletins dont le titre contient les mots 'the' ou 'die' ?"),
+        f"with {c.TITLES} select distinct doc_id from titles where term in ('the', 'die')",
+    ),
+    "search_question_images": (
+        _title_search("Je cherche les articles avec des images qui parlent de that et de with, écrits entre janvier 1994 et décembre 1998 mais pas en juin 1996."),
+        _B + f"has_image and {has('that')} and {has('with')} and year(date) between 1994 and 1998 and not (year(date) = 1996 and month(date) = 6)",
+    ),
+    "search_sections_and": (_search(_k("that", rubriques=("src3", "SRC3 "), rub_op="and")), _B + f"rubrique = 'src3' and {has('that')}"),
+    "search_two_sections_and": (_search(_k("that", rubriques=("src3", "src7"), rub_op="and")), _B + "false"),
     "search_images": (_search(_k(images=True)), _B + "has_image"),
     "search_compat": (_search(_k("nosuchword", rubriques=("src3",)), compat=True), _B + "rubrique = 'src3'"),
     "search_dates": (
@@ -332,8 +391,8 @@ QUERIES = {
         "select w, substr(w, 1, i - 1) || x || substr(w, i) from (select w, unnest(range(1, length(w) + 2)) as i from words), al) "
         "select distinct w, mot as lemme, length(mot) as freq from e join lex on mot = v where w <> v",
     ),
-    "correct_cascade": (cascade, None),
-    "correct_sentences": (correct_sentences, None),
+    "correct_cascade": (cascade, f"with {_BAD}, {_CASCADE} select * from fixed"),
+    "correct_sentences": (correct_sentences, f"with {c.PARTS}, {_PLACED}, {_SENTENCES} select sentence_id, cast(pos as int) as pos, mot, corrected, method from placed join fixed using (mot)"),
     "precision_recall_f1": (precision_recall, f"with {_PR} select * from f"),
     "mean_quality": (mean_quality, f"with {_PR} select round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(f1), 6) as f1 from f"),
     "page_titles": (
@@ -344,5 +403,4 @@ QUERIES = {
     "page_ids": (page_ids, "select page_id, regexp_extract(regexp_extract(url, '^[^?#]*'), '([^/\\\\]+?)(?:\\.[^./\\\\]*)?$', 1) as fichier from pages"),
     "page_pieces": (page_pieces, None),
     "page_bulletins": (page_bulletins, None),
-    "questions": (questions, None),
 }

@@ -50,6 +50,17 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType, columns: list[s
     return df.select(columns) if columns else df
 
 
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """(mot, lemme, ord) of tab-separated files of forms and lemmas, with header; ord is the place in the files, so the first lemma of a form can be told.
+
+    Forms are in lower case; rows without form or lemma are left out.
+    """
+    rows = read_tsv(spark, path, schemas.SUBSTITUTION)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    found = rows.select(F.lower(F.trim("mot")).alias("mot"), F.trim("lemme").alias("lemme"), place.alias("ord"))
+    return found.where("mot <> '' and lemme <> ''")
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
 

@@ -161,10 +161,14 @@ def author(p: Column) -> Column:
     return F.when(p["has_author"], F.nullif(F.trim(F.array_join(F.slice(bits, 2, 2), "-")), F.lit("")))
 
 
+#: What stands behind the name in a contact line, as a fixed value.
+BEHIND_NAME = r"(?:: tél\.|\s-\s*email\s*:)"
+
+
 def author_of_contact(p: Column) -> Column:
     """The name before ``: tél.`` or `` - email :`` in the contact line."""
-    lines = F.filter(_texts(p["spans"]), lambda t: t.rlike(r"(?i): tél\.|\s-\s*email\s*:"))
-    name = F.regexp_extract(F.get(lines, F.lit(0)), r"(?i)^(.*?)\s*(?:: tél\.|\s-\s*email\s*:)", 1)
+    lines = F.filter(_texts(p["spans"]), lambda t: t.rlike("(?i)" + BEHIND_NAME))
+    name = F.regexp_extract(F.get(lines, F.lit(0)), rf"(?i)^(.*?)\s*{BEHIND_NAME}", 1)
     last = F.trim(F.element_at(F.split(name, " - "), -1))
     return F.when((F.length(last) > 3) & (F.contains(last, F.lit(" ")) | (F.initcap(last) == last)), last)
 
@@ -202,11 +206,17 @@ def contacts(p: Column) -> Column:
     return F.filter(_texts(_of_class(p, "style85")), lambda t: F.contains(t, F.lit("-")))
 
 
+#: Class and word of a label that names the editors, as fixed values.
+EDITOR_CLASS, EDITOR = "style28", "Rédacteur"
+
+
 def contact(p: Column, label: str = "Pour en savoir plus, contacts :") -> Column:
-    """Lines of the cell after the one with the label, up to the first that names an editor."""
+    """Lines of the cell after the one with the label; not those that stand behind a label of editors, wherever in the page that is."""
     td = F.get(F.transform(F.filter(p["cells"], lambda c: F.contains(c["text"], F.lit(label))), lambda c: c["td"]), F.lit(0))
-    lines = _texts(F.filter(_of_class(p, "style85"), lambda s: s["td"] == td + 1))
-    return F.nullif(F.array_join(F.filter(lines, lambda t: ~F.startswith(t, F.lit("Rédacteur"))), " "), F.lit(""))
+    of = lambda s, cls: F.array_contains(F.split(s["cls"], r"\s+"), cls)
+    editors = F.array_position(F.transform(p["spans"], lambda s: F.coalesce(of(s, EDITOR_CLASS) & F.contains(s["text"], F.lit(EDITOR)), F.lit(False))), True)
+    own = F.filter(p["spans"], lambda s, i: of(s, "style85") & (s["td"] == td + 1) & ((editors == 0) | (i + 1 < editors)))
+    return F.nullif(F.array_join(_texts(own), " "), F.lit(""))
 
 
 def bulletins(pages: DataFrame) -> DataFrame:

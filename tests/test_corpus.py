@@ -96,9 +96,11 @@ def test_edits1_equals_generation(spark):
 def test_cascade_and_sentences(spark):
     lex = spark.createDataFrame([("chats", "chat", 1), ("mangeait", "manger", 2)], "mot string, lemme string, ord long")
     lemmas = spark.createDataFrame([("chat", 5, 1), ("chut", 9, 2), ("manger", 3, 3), ("ordinateur", 2, 4)], "lemme string, freq long, ord long")
-    words = spark.createDataFrame([(w,) for w in ("chat", "Chats!", "cht", "ordinatuers", "qqq")], "mot string")
+    lex = lex.unionByName(spark.createDataFrame([("ordinateurs", "ordinateur", 3), ("mangeaient", "manger", 4), ("mangeaille", "mangeaille", 5)], lex.schema))
+    words = spark.createDataFrame([(w,) for w in ("chat", "Chats!", "cht", "ordinatuers", "mangeaietn", "qqq")], "mot string")
     got = {r["mot"]: (r["corrected"], r["method"]) for r in lexicon.cascade(words, lex, lemmas).collect()}
-    assert got == {"chat": ("chat", "lemma"), "chats": ("chat", "form"), "cht": ("chut", "edit"), "ordinatuers": ("ordinateur", "prefix") if "ordinatuers" in got and got["ordinatuers"][1] == "prefix" else (None, "none"), "qqq": (None, "none")}
+    # The last step looks among forms and gives the lemma of the nearest one.
+    assert got == {"chat": ("chat", "lemma"), "chats": ("chat", "form"), "cht": ("chut", "edit"), "ordinatuers": ("ordinateur", "prefix"), "mangeaietn": ("manger", "prefix"), "qqq": (None, "none")}
     s = spark.createDataFrame([(1, "Le cht, mangeait")], "sentence_id int, sentence string")
     assert [(r["pos"], r["mot"], r["corrected"]) for r in lexicon.correct_sentences(s, lex, lemmas).orderBy("pos").collect()] == [(0, "le", None), (1, "cht", "chut"), (2, "mangeait", "manger")]
     assert lexicon.lemmatise_sentences(s, lex).first()["text"] == "le cht, manger"
@@ -107,3 +109,31 @@ def test_cascade_and_sentences(spark):
 def test_lexicon_of_a_corpus(scored):
     lex, lemmas = lexicon.lexicon_of(scored[1])
     assert {r["lemme"]: r["freq"] for r in lemmas.collect()}["le"] == 3 and lex.count() == 4
+
+
+def test_quantile_is_exact(spark):
+    import random
+
+    rng = random.Random(1)
+    for values in ([3.0], [1.0, 1.0, 1.0], [1.0, 2.0], [rng.random() for _ in range(999)], [float(rng.randrange(5)) for _ in range(500)], [1e300, -1e300, 0.0, 5.0], [2.0] * 400 + [7.5]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        for q in (0.0, 0.02, 0.17, 0.5, 0.9, 0.99, 1.0):
+            got, want = weights.quantile(df, "v", q).first()["cut"], df.agg(F.percentile("v", q)).first()[0]
+            assert got == pytest.approx(want, rel=1e-12)
+    assert weights.quantile(spark.createDataFrame([], "v double"), "v", 0.5).first()["cut"] is None
+
+
+def test_long_stop_lists_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b. c  a"), (2, "b"), (3, None)], "doc_id int, text string")
+    stop = spark.createDataFrame([("b",), ("c",), ("zz",)], "mot string")
+    one = sorted(map(tuple, weights.filtered_text(docs, stop).collect()))
+    monkeypatch.setattr(weights, "LISTED", 2)
+    assert sorted(map(tuple, weights.filtered_text(docs, stop).collect())) == one == [(1, "a a"), (2, ""), (3, "")]
+
+
+def test_joined_maps(spark):
+    a = spark.createDataFrame([("chats", "chat"), ("mangeait", "manger"), ("seul", "seul")], "mot string, lemme string")
+    b = spark.createDataFrame([("chats", "chat"), ("mangeait", "mang"), ("autre", "autr")], "mot string, racine string")
+    both = lexicon.joined_maps(a, b)
+    assert sorted(map(tuple, both.collect())) == [("chats", "chat", "chat"), ("mangeait", "manger", "mang")]
+    assert [r["mot"] for r in lexicon.verb_sample(both).collect()] == ["mangeait"]

@@ -31,11 +31,29 @@ def test_html_fields(spark):
         .first()
     )
     assert r["id"] == "67937" and tuple(r["t"]) == (datetime.date(2011, 10, 19), 262, "Prix de médecine")
-    assert r["rubriques"] == ["Focus"] and r["rubrique"] == "Focus" and r["author"] == "Jean Dupont - email : a@b"[:11] or r["author"].startswith("Jean Dupont")
+    assert r["rubriques"] == ["Focus"] and r["rubrique"] == "Focus" and r["author"] == "Jean Dupont - email : a@b"
     assert r["author2"] == "Jean Dupont" and r["body"] == "Le prix est beau. Oui." and r["scoped"] == "Le prix est beau. Oui. sans fin"
     assert [tuple(i) for i in r["images"]] == [("a.jpg", "Une image"), ("b.jpg", "Crédits : z")]
     assert [tuple(i) for i in r["numbered"]] == [("../BULLETINS/IMAGESWEB/67937_01.jpg", "Une image"), ("../BULLETINS/IMAGESWEB/67937_02.jpg", None)]
-    assert r["contacts"] == ["Centre - tel", "Rédacteur - y"] and r["contact"] == "Centre - tel"
+    assert r["contacts"] == ["Centre - tel", "Rédacteur - y"] and r["contact"] == "Centre - tel Rédacteur - y"
+
+
+def test_contact_ends_at_a_label_of_editors(spark):
+    cell = '<table><tr><td>Pour en savoir plus, contacts :</td><td><span class="style85">Centre</span><span class="style85">tel 1</span><span class="style28">R&eacute;dacteurs :</span><span class="style85">Z - y</span></td></tr></table>'
+    of = lambda page: fields(spark, page).select(html.contact(F.col("p"))).first()[0]
+    assert of(f"<html><body>{cell}</body></html>") == "Centre tel 1"
+    assert of(f'<html><body><span class="style28">R&eacute;dacteur</span>{cell}</body></html>') is None
+    assert of(f'<html><body><span class="style28">Autre</span>{cell}<span class="style28">R&eacute;dacteur</span></body></html>') == "Centre tel 1"
+
+
+def test_lexicon_reader(spark, tmp_path):
+    (tmp_path / "lex.tsv").write_text("mot\tlemme\nMangea\tmanger\nnull\tnul\nmangea\tmangea\n\tx\n", encoding="utf-8")
+    lex = files.read_lexicon(spark, f"file://{tmp_path}/lex.tsv")
+    from glanage.operators import lexicon
+
+    assert [tuple(r) for r in lex.orderBy("ord").select("mot", "lemme").collect()] == [("mangea", "manger"), ("null", "nul"), ("mangea", "mangea")]
+    words = spark.createDataFrame([("mangea",), ("chevaux",), ("12",)], "mot string")
+    assert {r["mot"]: r["lemme"] for r in lexicon.lemmas_by(words, lex).collect()} == {"mangea": "manger", "chevaux": "cheval"}
 
 
 def test_bad_pages(spark):

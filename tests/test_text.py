@@ -60,6 +60,9 @@ def test_stems():
 
 
 def test_lemmas_and_udfs(spark):
-    assert [stem.lemma(w) for w in ("chevaux", "maisons", "sont", "les", None)] == ["cheval", "maison", "être", "les", None]
-    df = spark.createDataFrame([("maisons",), (None,)], "w string").select(stem.stem_udf(F.col("w")).alias("s"), stem.lemma_udf(F.col("w")).alias("l"))
+    words = ("chevaux", "maisons", "sont", "les", None, "", "Eaux", "bateaux", "mangées", "finissent", "virus", "genoux", "bijoux", "tuyaux", "yeux", "os")
+    want = ["cheval", "maison", "être", "les", None, "", "eau", "bateau", "manger", "finir", "virus", "genoux", "bijoux", "tuyal", "œil", "os"]
+    got = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", stem.lemma_of(F.col("w")).alias("l")).orderBy("i")
+    assert [r["l"] for r in got.collect()] == want
+    df = spark.createDataFrame([("maisons",), (None,)], "w string").select(stem.stem_udf(F.col("w")).alias("s"), stem.lemma_of(F.col("w")).alias("l"))
     assert [tuple(r) for r in df.collect()] == [("maison", "maison"), (None, None)]
