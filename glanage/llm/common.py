@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """This application's own folder in the shared one; ``clean`` deletes it, at the latest when the driver's Python ends."""
+    """This application's own folder in the shared one; ``clean`` deletes it, at the latest when the driver's Python ends while Spark still runs."""
     state, path = process_cache(), f"{shared_dir(spark)}/glanage-{spark.sparkContext.applicationId}"
     if path not in state.setdefault("scratch", {}):
         state["scratch"][path] = spark
