@@ -121,6 +121,12 @@ def question_batch(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("conv_id", "turn", "s.target", F.size("s.kw_yes").alias("n_yes"), F.size("s.kw_no").alias("n_no"), "s.kw_op", F.size("s.rubriques").alias("n_rub"), "s.images", F.col("s.date_on.a").alias("year"))
 
 
+def question_stop_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts read as questions, without the words that are never keywords."""
+    kept = text.without_words(text.query_text(F.col("text")), sorted(question.NOISE))
+    return c.documents(spark, sf).select("doc_id", kept.alias("rest"))
+
+
 def question_words(spark: SparkSession, sf: str) -> DataFrame:
     """Return word and image flag of questions made of every document's section, in built-in functions only."""
     d = c.documents(spark, sf)
@@ -359,6 +365,12 @@ QUERIES = {
     "search_return_facets": (_search(_k("moron", target="rubriques")), f"{_P}, {c.BULLETINS} select distinct lower(rubrique) as rubrique from b where {has('moron')}"),
     "nl_search": (nl_search, _B + f"rubrique in ('src3', 'src7') and ({has('with')} or {has('from')}) and {hasnt('that')}"),
     "question_batch": (question_batch, None),
+    "question_stop_words": (
+        question_stop_words,
+        "select doc_id, array_to_string(list_filter(regexp_split_to_array(lower(translate(text, '’?.', chr(39))), '\\s+'), lambda x: x <> '' and x not in ("
+        + ", ".join(f"'{w}'" for w in sorted(question.NOISE))
+        + ")), ' ') as rest from documents",
+    ),
     "question_words": (
         question_words,
         "select doc_id, case when doc_id % 3 = 0 then 'rubriques' else 'bulletins' end as word, doc_id % 5 = 0 as images, "
