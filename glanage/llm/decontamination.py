@@ -91,15 +91,16 @@ def _starts(length: Column, w: int) -> Column:
     return F.when(length >= w, F.sequence(F.lit(0), length - w)).otherwise(F.array().cast("array<int>"))
 
 
-def _hashes(tokens: DataFrame, keep: list[str], widths: list[tuple[str, int]]) -> DataFrame:
-    """``keep`` columns, kind (place in ``widths``), j (first token) and h of every window; kind "t" has windows of template tokens, "r" of words."""
+def _hashes(tokens: DataFrame, keep: list[str], widths: list[tuple[str, int]], places: bool = True) -> DataFrame:
+    """``keep`` columns and h of every window; with ``places`` also kind (place in ``widths``) and j (first token). Kind "t" has windows of template tokens, "r" of words."""
     tokens = tokens.select(*keep, F.transform("raw", lambda x: F.xxhash64(x)).alias("r"), F.transform("starts", lambda s: F.xxhash64(_at("t", s))).alias("t"))
 
     def windows(k: int, kind: str, w: int) -> Column:
-        return F.transform(_starts(F.size(kind), w), lambda j: F.struct(F.lit(k).alias("kind"), j.alias("j"), F.xxhash64(F.lit(k), F.slice(kind, j + 1, w)).alias("h")))
+        h = lambda j: F.xxhash64(F.lit(k), F.slice(kind, j + 1, w))
+        return F.transform(_starts(F.size(kind), w), lambda j: F.struct(F.lit(k).alias("kind"), j.alias("j"), h(j).alias("h")) if places else h(j))
 
-    found = [windows(k, kind, w) for k, (kind, w) in enumerate(widths)]
-    return tokens.select(*keep, F.explode(F.concat(*found)).alias("m")).select(*keep, "m.*")
+    found = F.explode(F.concat(*(windows(k, kind, w) for k, (kind, w) in enumerate(widths))))
+    return tokens.select(*keep, found.alias("m")).select(*keep, "m.*") if places else tokens.select(*keep, found.alias("h"))
 
 
 def _windows(tokens: DataFrame, keep: list[str], widths: list[tuple[str, int]]) -> DataFrame:
@@ -123,7 +124,7 @@ def _candidates(docs: DataFrame, hashes: DataFrame, widths: list[tuple[str, int]
     tokens, found = tokenised(docs, "id", "th"), None
     for k in range(parts):
         own = hashes.where(F.pmod("h", F.lit(parts)) == k) if parts > 1 else hashes
-        one = _hashes(tokens, ["id", "th"], widths).join(F.broadcast(own), "h", "left_semi").select("id", "th")
+        one = _hashes(tokens, ["id", "th"], widths, places=False).join(F.broadcast(own), "h", "left_semi").select("id", "th")
         found = one if found is None else found.unionByName(one)
     return saved(found.distinct(), "candidates")
 
