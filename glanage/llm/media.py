@@ -178,9 +178,9 @@ def write_store(docs: DataFrame, params: ChunkParams = ChunkParams()) -> tuple[D
     special = saved(special, "special")
     # Payloads that only look special move as well, so their holders are in the second bitmap too.
     first = F.substring("sha", 1, HEX)
-    alike = rows.select("sha", holder.alias("h")).join(special.select(first.alias("first")).distinct().hint("merge"), first == F.col("first"), "left_semi")
+    alike = distinct.select("sha", F.col("holder").alias("h")).join(special.select(first.alias("first")).distinct().hint("merge"), first == F.col("first"), "left_semi")
     held = F.sha2(F.concat("sha", F.lit(":"), F.col("h").cast("string")), 256)
-    bits, holders = bitmap(special.select(F.col("sha").alias("d"))), bitmap(alike.groupBy("sha").agg(F.min("h").alias("h")).select(held.alias("d")))
+    bits, holders = bitmap(special.select(F.col("sha").alias("d"))), bitmap(alike.select(held.alias("d")))
     none = F.array().cast("array<int>")
     columns = ["sha", "manifest", "blobs", "borrowed", "lent"]
     plain = _full(docs, bits, holders, False, params).withColumn("borrowed", none).withColumn("lent", none).select(columns)
