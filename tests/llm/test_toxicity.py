@@ -103,3 +103,39 @@ def test_query_keeps_its_contract(spark):
     assert (got["predicted"] == (got["score"] >= 0.5)).all()
     known = got.join(labels, how="inner")
     assert (known["predicted"] == known["toxic"])[~known["held_out"]].mean() > 0.9
+
+
+def letters(i):
+    return "q" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "z"
+
+
+def test_every_labelled_row_teaches(spark):
+    # More rows of a class than any one task takes; each word is in two rows, and only words of two rows get a weight.
+    n = 7000
+    docs = spark.createDataFrame([(i, letters(i // 2), "en") for i in range(n)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i // 2 % 3 == 0)) for i in range(n)], "doc_id long, toxic int")
+    model = t.fit(docs, labels)
+    known = t._WordRows(model.params.buckets)
+    learnt = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(f"{model.params.seed}:{i}".encode()) % 1000 >= 250]
+    twice = [i for i in learnt if i % 2 == 0 and i + 1 in set(learnt)]
+    assert len(twice) > 1000 and all(model.table[t.word_rows([letters(i // 2)], known)[0][0, 0], 0] != 0 for i in twice)
+
+
+def test_long_texts_teach(spark, rows):
+    rng = random.Random(4)
+    long = [(20_000 + i, " ".join([*rng.choices(WORDS, k=2300), "vilest", *rng.choices(WORDS, k=2300)]), "en", 1) for i in range(60)]
+    docs = spark.createDataFrame([r[:3] for r in rows + long], "doc_id long, text string, lang string")
+    model = t.fit(docs, spark.createDataFrame([(r[0], r[3]) for r in rows + long], "doc_id long, toxic int"))
+    good, bad = model.scores(t.word_rows(["word1 word2 word3", "word1 vilest word3"], t._WordRows(model.params.buckets)))
+    assert good < 0.5 < bad
+
+
+def test_shards_together_learn_what_one_does(spark, rows):
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    params = t.ToxicityParams(shard_rows=150)
+    model, again = t.fit(docs, labels, params), t.fit(docs.repartition(7), labels.repartition(3), params)
+    assert np.array_equal(model.table, again.table) and np.array_equal(model.out, again.out) and model.thresholds == again.thresholds
+    test = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    s = model.scores(t.word_rows([r[1] for r in test], t._WordRows(params.buckets)))
+    assert np.mean((s >= 0.5) == [r[3] == 1 for r in test]) > 0.97
