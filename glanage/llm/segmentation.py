@@ -15,7 +15,9 @@ sample costs one walk through the text.
 
 A piece never goes from a letter to a word mark, so the lattice is the product
 of the words' lattices. Backward sums are worked out once per distinct word of
-a batch, all in numpy.
+a block of texts, all in numpy, and kept for the task's next blocks: of a bounded
+number of edges, those of the words that most blocks use. What is kept only
+saves time; samples are the same without it.
 
 Each sample comes with its log-probability, its perturbed value and its
 inclusion score 1 - exp(-exp(log_prob - kappa)), kappa being the (k+1)th
@@ -40,6 +42,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +224,86 @@ class Lattice:
         self.reach[head + sizes - 1] = 1.0
         self.count = count
 
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... of size[i] numbers, for each i in turn."""
+    stop = np.cumsum(size)
+    return np.repeat(first - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)
+
+
+#: Edges of words that are kept from block to block, at 48 bytes each.
+KEPT = 2_000_000
+
+
+class Lattices:
+    """The lattices of a block's words and of words that were met before."""
+
+    _WORD = {"start": np.int64, "end": np.int64, "seen": np.int64}
+    _PLACE = {"first": np.int64, "count": np.int32}
+    _EDGE = {"begin": np.int32, "stop": np.int32, "piece": np.int32, "share": float, "reach": float, "log_share": float, "log_other": float}
+
+    def __init__(self, voc: Vocabulary, most: int = KEPT):
+        self.voc, self.most = voc, most
+        self.places = self.total = 0
+        self._named([])
+        for name, kind in (self._WORD | self._PLACE | self._EDGE).items():
+            setattr(self, name, np.empty(most // 2, kind))  # memory is taken as it is filled
+
+    def _named(self, words: list[str]) -> None:
+        self.index: defaultdict[str, int] = defaultdict(None, zip(words, range(len(words))))  # words without their first mark, numbered as they come
+        self.index.default_factory = self.index.__len__
+
+    def _put(self, at: int, **columns: np.ndarray) -> None:
+        for name, values in columns.items():
+            own, need = getattr(self, name), at + len(values)
+            if need > len(own):
+                more = np.empty(max(need, 2 * len(own)), own.dtype)
+                more[:at] = own[:at]
+                setattr(self, name, more)
+            getattr(self, name)[at:need] = values
+
+    def number(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of each text's words, whose lattices are there then."""
+        if self.total > self.most:
+            self._forget()
+        known = len(self.index)
+        out = [np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)) for words in map(words_of, texts)]
+        new = list(islice(self.index, known, None))
+        if new:
+            joined = "".join(new)
+            lat = Lattice((MARK + f"\0{MARK}".join(new)).encode("utf-8", "replace").split(b"\0") if "\0" not in joined else [(MARK + w).encode("utf-8", "replace") for w in new], self.voc)
+            log_other = np.log1p(-np.minimum(lat.share, 1.0), where=lat.share < 1 - 1e-12, out=np.full(len(lat.share), -np.inf))
+            self._put(known, start=lat.start + self.places, end=lat.end + self.places, seen=np.zeros(len(new), np.int64))
+            self._put(self.places, first=lat.first[:-1] + self.total, count=lat.count[:-1])
+            self._put(self.total, begin=lat.begin + self.places, stop=lat.stop + self.places, piece=lat.piece)
+            self._put(self.total, share=lat.share, reach=lat.reach, log_share=np.log(lat.share), log_other=log_other)
+            self.places += len(lat.first) - 1
+            self.total += len(lat.share)
+        if out:
+            self.seen[np.concatenate(out)] += 1  # once for a block, however often a word is in it
+        return out
+
+    def _forget(self) -> None:
+        """Keeps the words that most blocks used, up to half of the edges."""
+        n = len(self.index)
+        start, end = self.start[:n], self.end[:n]
+        size = self.first[end] - self.first[start]
+        order = np.argsort(-self.seen[:n], kind="stable")
+        kept = np.sort(order[np.cumsum(size[order]) <= self.most // 2])
+        start, size, length = start[kept], size[kept], end[kept] - start[kept] + 1
+        shift = np.cumsum(length) - length - start
+        edges, places = _ranges(self.first[start], size), _ranges(start, length)
+        shifts = np.repeat(shift, size)
+        for name in self._EDGE:
+            values = getattr(self, name)[edges]
+            getattr(self, name)[: len(edges)] = values + shifts if name in ("begin", "stop") else values
+        self.count[: len(places)] = count = self.count[places]
+        self.first[: len(places)] = np.cumsum(count, dtype=np.int64) - count
+        self._put(0, start=start + shift, end=end[kept] + shift, seen=self.seen[kept] // 2)
+        self.places, self.total = len(places), len(edges)
+        words = list(self.index)
+        self._named([words[i] for i in kept.tolist()])
+
     def edges(self, node: int) -> list[int]:
         lo = int(self.first[node])
         return list(range(lo, lo + int(self.count[node])))
@@ -249,7 +332,7 @@ def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
 _ROUND, _USE, _STEP = 1 << 56, 1 << 55, 1 << 22
 
 
-def _walk(lat: Lattice, at: np.ndarray, end: np.ndarray, seed: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _walk(lat: Lattices, at: np.ndarray, end: np.ndarray, seed: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Draws paths from ``at`` to ``end``: how many edges each has, and the edges one path after the other."""
     live, steps = np.flatnonzero(at < end), []
     at = at.copy()
@@ -280,18 +363,19 @@ class _Path:
     log_prob: float
 
 
-def sample(texts: list[str | None], keys: list[object], voc: Vocabulary, params: SampleParams) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text its samples, best perturbed value first: ids, log_prob, gumbel, inclusion."""
-    index: defaultdict[str, int] = defaultdict()  # words without their first mark, numbered as they come
-    index.default_factory = index.__len__
-    number = [np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in map(words_of, texts)]
+def sample(
+    texts: list[str | None], keys: list[object], voc: Vocabulary, params: SampleParams, lat: Lattices | None = None
+) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text its samples, best perturbed value first: ids, log_prob, gumbel, inclusion.
+
+    ``lat`` holds lattices of earlier calls with this vocabulary.
+    """
+    lat = lat or Lattices(voc)
+    number = lat.number(texts)
     results: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in texts]
     docs = [i for i, x in enumerate(number) if len(x)]
     if not docs:
         return results
-    lat = Lattice((MARK + f"\0{MARK}".join(index)).encode("utf-8", "replace").split(b"\0") if "\0" not in "".join(index) else [(MARK + w).encode("utf-8", "replace") for w in index], voc)
-    log_share = np.log(lat.share)
-    log_other = np.log1p(-np.minimum(lat.share, 1.0), where=lat.share < 1 - 1e-12, out=np.full(len(lat.share), -np.inf))
     seeds = {i: np.uint64(xxhash.xxh3_64_intdigest(str("" if keys[i] is None else keys[i]).encode(), params.seed)) for i in docs}
     # Parts of the coming walk: text, first word, node to go on from, edges before it, and so on.
     todo = [(i, 0, int(lat.start[number[i][0]]), np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0, []) for i in docs]
@@ -314,13 +398,13 @@ def sample(texts: list[str | None], keys: list[object], voc: Vocabulary, params:
         news = []
         for (i, w, _, before, words_before, log_before, banned), stop, n in zip(todo, stops, per_doc, strict=True):
             own = np.concatenate([before, edges[stop - n : stop]])
-            steps = np.cumsum(log_share[own])
+            steps = np.cumsum(lat.log_share[own])
             fork = max(0, len(before) - 1)
             # At the fork the chosen edge is ``before``'s last one; what its set excludes is banned.
             prefix = np.concatenate([[0.0], steps[:-1]])
             path = _Path(own, np.concatenate([words_before, words[stop - n : stop]]), prefix, fork if banned else 0, banned, gumbels[i], float(steps[-1]))
             paths[i].append(path)
-            phi = prefix[path.fork :] + log_other[own[path.fork :]]
+            phi = prefix[path.fork :] + lat.log_other[own[path.fork :]]
             if banned:
                 left = 1.0 - lat.share[banned].sum() - lat.share[own[fork]]
                 rest = [e for e in lat.edges(int(lat.begin[own[fork]])) if e not in banned and e != own[fork]]
@@ -372,10 +456,11 @@ def segmentations(docs: DataFrame, model_path: str = MODEL, params: SampleParams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model, params.alpha)
+        lat = Lattices(voc)
         for b in batches:
             keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for part in chunks([len(t or "") for t in texts], params.block):
-                own = sample(texts[part], keys[part], voc, params)
+                own = sample(texts[part], keys[part], voc, params, lat)
                 rows = [(key, rank, *s, text) for key, text, found in zip(keys[part], texts[part], own, strict=True) for rank, s in enumerate(found)]
                 if not rows:
                     continue

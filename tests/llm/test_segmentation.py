@@ -93,3 +93,23 @@ def test_odd_rows(documents, odd):
     same = [(r["rank"], r["ids"]) for r in got if r["doc_id"] == 4]
     assert sorted(same)[0] == sorted(same)[1]
     assert s.segmentations(documents([])).count() == 0
+
+
+def test_known_words_are_not_worked_out_again(voc, monkeypatch):
+    built, plain = [], s.Lattice
+    monkeypatch.setattr(s, "Lattice", lambda words, voc: built.extend(words) or plain(words, voc))
+    lat = s.Lattices(voc)
+    s.sample(["some words here", "words"], [1, 2], voc, s.SampleParams(), lat)
+    s.sample(["here are some words", "some"], [3, 4], voc, s.SampleParams(), lat)
+    assert sorted(built) == sorted((s.MARK + w).encode() for w in ("some", "words", "here", "are"))
+
+
+@pytest.mark.parametrize("most", [0, 300, 2000, s.KEPT])
+def test_kept_lattices_change_no_sample(voc, most):
+    lat = s.Lattices(voc, most)
+    for block in range(30):
+        texts = [" ".join(f"w{(block * i) % 37} common{i % 5} é✨{i}" for i in range(n)) for n in (0, 1, 7, 40)] + ["", None, "  two  blanks ", "\0null\0byte"]
+        keys = [block * 10 + i for i in range(len(texts))]
+        for a, b in zip(s.sample(texts, keys, voc, s.SampleParams(), lat), s.sample(texts, keys, voc, s.SampleParams())):
+            assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b]
+            assert np.allclose([x[1:] for x in a], [x[1:] for x in b], atol=1e-9)
